@@ -6,12 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm import toxicity as tox
+from quillmark.llm import unit_dedup as units
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op6_unit_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the lines and sentences that an earlier one has."""
+    return units.unit_dedup(_table(spark, folder, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = _table(spark, folder, "documents")
@@ -19,7 +25,10 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_unit_dedup": op6_unit_dedup,
     "op9_toxicity": op9_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_unit_dedup": units.ORACLE,
+}
