@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmark.llm import decontam, license_scan, quality_rank
 from quillmark.llm import toxicity as tox
 from quillmark.llm import unit_dedup as units
 
@@ -13,11 +14,26 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices in every document."""
+    return license_scan.license_scan(_table(spark, folder, "documents"))
+
+
+def op4_quality_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, and whether it is kept."""
+    return quality_rank.quality_rank(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op6_unit_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the lines and sentences that an earlier one has."""
     return units.unit_dedup(_table(spark, folder, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    return decontam.decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = _table(spark, folder, "documents")
@@ -25,7 +41,10 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_license_scan": op3_license_scan,
+    "op4_quality_rank": op4_quality_rank,
     "op6_unit_dedup": op6_unit_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
 }
 
