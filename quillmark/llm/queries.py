@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import decontam, license_scan, quality_rank
+from quillmark.llm import decontam, license_scan, packing, quality_rank, warc_index
 from quillmark.llm import toxicity as tox
 from quillmark.llm import unit_dedup as units
 
@@ -14,6 +14,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Capture histories of every page."""
+    return warc_index.capture_index(_table(spark, folder, "pages"))
+
+
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licence notices in every document."""
     return license_scan.license_scan(_table(spark, folder, "documents"))
@@ -29,6 +34,11 @@ def op6_unit_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return units.unit_dedup(_table(spark, folder, "documents"))
 
 
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows filled with the tokens of every document."""
+    return packing.pack(_table(spark, folder, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark passages in every document."""
     return decontam.decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -41,13 +51,16 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_index": op1_warc_index,
     "op3_license_scan": op3_license_scan,
     "op4_quality_rank": op4_quality_rank,
     "op6_unit_dedup": op6_unit_dedup,
+    "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc_index": warc_index.ORACLE,
     "op6_unit_dedup": units.ORACLE,
 }
