@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Characters handled by one vectorised step.  A longer text is a step by itself.
+#: Characters and texts handled by one vectorised step.  A longer text is a
+#: step by itself.
 STEP_CHARS = 1 << 20
+STEP_TEXTS = 1 << 15
 U64 = np.uint64
 
 
@@ -62,7 +64,7 @@ def steps(texts: list[str], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]
     """Consecutive index ranges of ``texts`` of about ``limit`` characters."""
     begin = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+        if size and (size + len(t) > limit or i - begin >= STEP_TEXTS):
             yield begin, i
             begin, size = i, 0
         size += len(t) + 1

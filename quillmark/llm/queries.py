@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import decontam, license_scan, packing, quality_rank, warc_index
+from quillmark.llm import decontam, license_scan, packing, probminhash, quality_rank, warc_index
 from quillmark.llm import toxicity as tox
 from quillmark.llm import unit_dedup as units
 
@@ -29,6 +29,11 @@ def op4_quality_rank(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rank.quality_rank(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate group of every document."""
+    return probminhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op6_unit_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the lines and sentences that an earlier one has."""
     return units.unit_dedup(_table(spark, folder, "documents"))
@@ -54,6 +59,7 @@ QUERIES = {
     "op1_warc_index": op1_warc_index,
     "op3_license_scan": op3_license_scan,
     "op4_quality_rank": op4_quality_rank,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_unit_dedup": op6_unit_dedup,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
