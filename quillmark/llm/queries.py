@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import decontam, license_scan, packing, probminhash, quality_rank, warc_index
+from quillmark.llm import decontam, license_scan, packing, probminhash, quality_rank, suffix_dedup, warc_index
 from quillmark.llm import toxicity as tox
 from quillmark.llm import unit_dedup as units
 
@@ -55,6 +55,11 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return tox.toxicity(docs, tox.lexicon_for(docs, _table(spark, folder, "labels")))
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the passages that an earlier place has."""
+    return suffix_dedup.suffix_dedup(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_warc_index": op1_warc_index,
     "op3_license_scan": op3_license_scan,
@@ -64,6 +69,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
