@@ -230,7 +230,7 @@ def shard_rows(ids: np.ndarray, marks: np.ndarray, texts: list[str], hot: list[d
     repeat = np.sort(back[suffix[again]])
     if len(repeat):
         d = np.searchsorted(first, repeat, "right") - 1
-        fresh = np.append(True, (np.diff(repeat) > least) | (np.diff(d) > 0))
+        fresh = np.append(True, (np.diff(repeat) >= least) | (np.diff(d) > 0))
         heads = np.flatnonzero(fresh)
         tails = np.append(heads[1:] - 1, len(repeat) - 1)
         x, y, d = s[repeat[heads]], t[repeat[tails] + least - 1], d[heads]
