@@ -4,8 +4,9 @@ whole table; SQL where SQL can say the same."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmark.llm import decontam, license_scan, packing, probminhash, quality_rank, suffix_dedup, warc_index
+from quillmark.llm import decontam, license_scan, packing, pq_neardup, probminhash, quality_rank, suffix_dedup, warc_index
 from quillmark.llm import toxicity as tox
 from quillmark.llm import unit_dedup as units
 
@@ -19,6 +20,11 @@ def op1_warc_index(spark: SparkSession, folder: str) -> DataFrame:
     return warc_index.capture_index(_table(spark, folder, "pages"))
 
 
+def op2_embedding_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate pairs among all embeddings."""
+    return pq_neardup.near_pairs(_table(spark, folder, "embeddings")).withColumn("cosine", F.round("cosine", 6))
+
+
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licence notices in every document."""
     return license_scan.license_scan(_table(spark, folder, "documents"))
@@ -62,6 +68,7 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_index": op1_warc_index,
+    "op2_embedding_pairs": op2_embedding_pairs,
     "op3_license_scan": op3_license_scan,
     "op4_quality_rank": op4_quality_rank,
     "op5_near_duplicates": op5_near_duplicates,
@@ -74,5 +81,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_warc_index": warc_index.ORACLE,
+    "op2_embedding_pairs": pq_neardup.ORACLE,
     "op6_unit_dedup": units.ORACLE,
 }
