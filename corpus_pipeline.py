@@ -1,30 +1,67 @@
-"""The corpus pipeline: five stages from raw documents to packed windows."""
+"""The corpus pipeline: five stages from raw documents to packed windows.
+
+Each stage takes the rows that its predecessor kept and gives the columns of
+``documents``, but for the last, which gives the pieces of each window.  Between
+stages the rows are written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmark.llm import decontam, packing, probminhash, suffix_dedup
 from quillmark.llm import toxicity as tox
+from quillmark.llm.common import checkpoint_dir
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon doesn't reject; rows without a text stay."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return tox.keep_clean(docs, tox.lexicon_for(docs, labels))
+    """Documents that the weighted lexicon doesn't reject.  The lexicon is the
+    seed list and what the labels of ``sf_dir`` teach; null and empty texts
+    stay."""
+    return tox.keep_clean(docs, tox.lexicon_for(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least ``doc_id`` of each near-duplicate group."""
+    return probminhash.keep_first(docs)
+
+
+def stage_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages of 50 words or more that occur before;
+    what has no word left goes."""
+    return suffix_dedup.drop_repeats(docs)
 
 
-STAGES = [("toxicity", stage_toxicity)]
+def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark of ``sf_dir``."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
-#: Learned weights, sketches and suffix arrays are beyond SQL.
+
+def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of 2,048 tokens filled with the tokens of all documents."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", stage_toxicity),
+    ("near duplicates", stage_near_duplicates),
+    ("repeated passages", stage_repeated_passages),
+    ("decontamination", stage_decontamination),
+    ("packing", stage_packing),
+]
+
+#: Learned weights, sketches, suffix arrays and the window search are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents`` of ``sf_dir``."""
-    from uuid import uuid4
-
-    from quillmark.llm.common import checkpoint_dir
+    """All stages over ``documents`` of ``sf_dir``.
 
+    The rows between stages are kept in the shared checkpoint folder, so a lost
+    executor costs at most the stage that runs.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{checkpoint_dir(spark)}/pipeline-{uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
