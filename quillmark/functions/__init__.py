@@ -1 +1 @@
-
+"""Column functions: text, fiscal calendar, rounding and formulas."""
