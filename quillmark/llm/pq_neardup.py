@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import arrow_map, cut, lists
+from quillmark.llm.common import arrow_map, lists
 
 #: Cosine from which vectors are near duplicates.
 THRESHOLD = 0.95
@@ -17,8 +17,10 @@ THRESHOLD = 0.95
 PARTS, WORDS = 8, 256
 #: Passes of Lloyd's method over all vectors, for lists and for codebooks.
 PASSES = 5
-#: Queries of a list that one task takes.
-TASK_QUERIES = 50_000
+#: Vectors of the lists that one task holds, and queries that it takes.
+BLOCK_VECTORS, TASK_QUERIES = 16_384, 20_000
+#: Cells of a table that one vectorised step holds.
+STEP_CELLS = 1 << 19
 #: Rounding that the bounds leave room for.
 EPS = 1e-5
 
@@ -30,7 +32,7 @@ def vectors_of(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _chunks(n: int, width: int):
-    size = max(1, 4_000_000 // max(1, width))
+    size = max(1, STEP_CELLS // max(1, width))
     return ((a, min(a + size, n)) for a in range(0, n, size))
 
 
@@ -48,7 +50,9 @@ def sufficient_lists(x: np.ndarray, centres: np.ndarray, radius: float) -> tuple
 
     A vector of list c lies on c's side of the plane midway between c and the
     row's own centre, so c matters only if that plane is within the radius:
-    (|x - c|^2 - |x - own|^2) / (2 |c - own|) <= radius.
+    (|x - c|^2 - |x - own|^2) / (2 |c - own|) <= radius.  Of two lists that
+    hold a pair, the one of the lower number does the asking, so only lists
+    from the own number on are given.
     """
     square = (centres * centres).sum(axis=1)
     rows, found = [], []
@@ -56,7 +60,8 @@ def sufficient_lists(x: np.ndarray, centres: np.ndarray, radius: float) -> tuple
         d = square - 2 * (x[a:b] @ centres.T)
         own = np.argmin(d, axis=1)
         apart = np.sqrt(np.maximum(square[own][:, None] + square[None, :] - 2 * (centres[own] @ centres.T), 0))
-        r, c = np.nonzero(d - d[np.arange(b - a), own][:, None] <= 2 * (radius + EPS) * apart + EPS)
+        near = d - d[np.arange(b - a), own][:, None] <= 2 * (radius + EPS) * apart + EPS
+        r, c = np.nonzero(near & (np.arange(len(centres))[None, :] >= own[:, None]))
         rows.append(r + a)
         found.append(c)
     return np.concatenate(rows), np.concatenate(found)
@@ -79,8 +84,29 @@ def encode(residual: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndar
     return codes, np.sqrt((gone**2).sum(axis=(1, 2)))
 
 
-def scan_list(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, codes: np.ndarray, error: np.ndarray, centre: np.ndarray, books: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (query, member of greater id) of a list with their cosine.
+def blocks_of(centres: np.ndarray, sizes: np.ndarray, limit: int) -> np.ndarray:
+    """A block number for each list: neighbouring lists together, ``limit``
+    vectors a block but for a list that is larger by itself.  A query then
+    travels once to a block, whatever number of its lists it asks."""
+    n = max(1, -(-int(sizes.sum()) // limit))
+    seeds = centres[:: max(1, len(centres) // n)][:n].copy()
+    for _ in range(10):
+        k = nearest(centres, seeds)
+        for g in range(len(seeds)):
+            if (k == g).any():
+                seeds[g] = centres[k == g].mean(axis=0)
+    out, block, held = np.zeros(len(centres), np.int64), 0, 0
+    for i in np.argsort(k, kind="stable"):
+        if held and held + sizes[i] > limit:
+            block, held = block + 1, 0
+        out[i] = block
+        held += sizes[i]
+    return out
+
+
+def scan_list(qid: np.ndarray, q: np.ndarray, home: np.ndarray, vid: np.ndarray, v: np.ndarray, codes: np.ndarray, error: np.ndarray, centre: np.ndarray, books: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query, member) of a list with their cosine.  Queries whose
+    ``home`` is the list meet members of greater id only.
 
     Asymmetric distances come from a table for each query.  A member whose
     codes are ``error`` off can be within the radius only if its table distance
@@ -95,7 +121,8 @@ def scan_list(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, co
         for m, book in enumerate(books):
             table = (sub[:, m] ** 2).sum(axis=1)[:, None] + (book**2).sum(axis=1)[None, :] - 2 * (sub[:, m] @ book.T)
             far += table[:, codes[:, m]]
-        i, j = np.nonzero((far <= limit[None, :] + EPS) & (qid[a:b][:, None] < vid[None, :]))
+        once = np.where(home[a:b][:, None], qid[a:b][:, None] < vid[None, :], qid[a:b][:, None] != vid[None, :])
+        i, j = np.nonzero((far <= limit[None, :] + EPS) & once)
         cosine = np.einsum("ij,ij->i", q[a + i], v[j])
         ok = cosine >= threshold
         rows.append((qid[a + i[ok]], vid[j[ok]], cosine[ok]))
@@ -138,7 +165,7 @@ def _lloyd(df: DataFrame, centres: np.ndarray, points, passes: int) -> np.ndarra
     return centres
 
 
-def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD, parts: int = PARTS, words: int = WORDS, passes: int = PASSES, task_queries: int = TASK_QUERIES) -> DataFrame:
+def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD, parts: int = PARTS, words: int = WORDS, passes: int = PASSES, block_vectors: int = BLOCK_VECTORS, task_queries: int = TASK_QUERIES) -> DataFrame:
     """All pairs of vectors whose cosine reaches ``threshold``.
 
     Vectors are scaled to unit length and put in as many inverted lists as the
@@ -158,7 +185,7 @@ def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD, parts: int =
     result.
     """
     spark = embeddings.sparkSession
-    base = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(
+    base = embeddings.select("vec_id", "embedding").where(
         "vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf')) AND exists(embedding, x -> x <> 0)"
     )
     common = base.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
@@ -168,7 +195,7 @@ def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD, parts: int =
     base = base.where(F.size("embedding") == dim)
     k = math.ceil(math.sqrt(n))
     start = base.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(max(k, min(words, n))).select("embedding").collect()
-    seeds = np.array([r.embedding for r in start])
+    seeds = np.array([r.embedding for r in start], np.float64)
     seeds /= np.linalg.norm(seeds, axis=1, keepdims=True)
     centres = _lloyd(base, seeds[None, :k], lambda batch: [vectors_of(batch.column(1), dim)], passes)[0]
 
@@ -179,50 +206,82 @@ def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD, parts: int =
     first = seeds - centres[nearest(seeds, centres)]
     books = np.ascontiguousarray(parts_of(first[:words], parts).transpose(1, 0, 2))
     books = _lloyd(base, books, lambda batch: parts_of(residual(batch), parts).transpose(1, 0, 2), passes)
-    held = spark.sparkContext.broadcast((centres, books))
+    def homes(batch: pa.RecordBatch):
+        own, n = np.unique(nearest(vectors_of(batch.column(1), dim), centres), return_counts=True)
+        yield pa.record_batch([pa.array(own), pa.array(n)], names=["list", "n"])
+
+    sizes = np.zeros(k, np.int64)
+    for r in arrow_map(base, homes, "list long, n long").groupBy("list").agg(F.sum("n").alias("n")).collect():
+        sizes[r.list] = r.n
+    block = blocks_of(centres, sizes, block_vectors)
+    radius = math.sqrt(max(0.0, 2 - 2 * threshold))
+
+    def asked_blocks(batch: pa.RecordBatch):
+        x, count = vectors_of(batch.column(1), dim), np.zeros(block.max() + 1, np.int64)
+        for a, b in _chunks(len(x), len(centres)):
+            row, at = sufficient_lists(x[a:b], centres, radius)
+            count += np.bincount(np.unique(row * len(count) + block[at]) % len(count), minlength=len(count))
+        some = np.flatnonzero(count)
+        yield pa.record_batch([pa.array(some), pa.array(count[some])], names=["block", "n"])
+
+    # A block meets its queries in as many tasks as they need.
+    split = np.ones(block.max() + 1, np.int64)
+    for r in arrow_map(base, asked_blocks, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).collect():
+        split[r.block] = -(-r.n // task_queries)
+    held = spark.sparkContext.broadcast((centres, books, block, split))
 
     def members(batch: pa.RecordBatch):
-        centres, books = held.value
+        centres, books, block, split = held.value
         x = vectors_of(batch.column(1), dim)
         own = nearest(x, centres)
         codes, error = encode(x - centres[own], books)
         yield pa.record_batch(
-            [pa.array(own), batch.column(0), lists(codes.reshape(-1), np.arange(len(x) + 1) * len(books), pa.int16()), pa.array(error), batch.column(1)],
-            names=["list", "vec_id", "codes", "error", "embedding"],
+            [pa.array(block[own]), pa.array(split[block[own]]), pa.array(own), batch.column(0), lists(codes.reshape(-1), np.arange(len(x) + 1) * len(books), pa.int16()), pa.array(error), batch.column(1)],
+            names=["block", "split", "list", "vec_id", "codes", "error", "embedding"],
         )
 
-    radius = math.sqrt(max(0.0, 2 - 2 * threshold))
-
     def queries(batch: pa.RecordBatch):
+        centres, _, block, split = held.value
         x = vectors_of(batch.column(1), dim)
-        for a, b in _chunks(len(x), len(held.value[0])):
-            row, at = sufficient_lists(x[a:b], held.value[0], radius)
-            rows = pa.array(a + row)
-            yield pa.record_batch([pa.array(at), batch.column(0).take(rows), batch.column(1).take(rows)], names=["list", "vec_id", "embedding"])
-
-    coded = arrow_map(base, members, "list long, vec_id long, codes array<short>, error double, embedding array<double>")
-    probes = cut(arrow_map(base, queries, "list long, vec_id long, embedding array<double>").withColumn("embedding", F.col("embedding").cast("array<float>")))
-    # A list with very many queries is worked on by several tasks.
-    most = probes.groupBy("list").count().agg(F.max("count")).first()[0] or 1
-    split = max(1, -(-most // task_queries))
-    left = probes.withColumn("share", F.pmod(F.xxhash64("vec_id"), F.lit(split)))
-    right = coded.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(split - 1).cast("long"))))
+        for a, b in _chunks(len(x), len(centres)):
+            row, at = sufficient_lists(x[a:b], centres, radius)
+            by = np.lexsort((at, block[at], row))
+            row, at = row[by], at[by]
+            new = np.append(True, (row[1:] != row[:-1]) | (block[at][1:] != block[at][:-1]))
+            starts = np.flatnonzero(new)
+            rows = pa.array(a + row[starts])
+            own = nearest(x[a:b], centres)
+            yield pa.record_batch(
+                [pa.array(block[at[starts]]), pa.array(split[block[at[starts]]]), batch.column(0).take(rows), pa.array(own[row[starts]]), lists(at, np.append(starts, len(at)), pa.int32()), batch.column(1).take(rows)],
+                names=["block", "split", "vec_id", "own", "lists", "embedding"],
+            )
+
+    kind = embeddings.schema["embedding"].dataType.simpleString()
+    coded = arrow_map(base, members, f"block long, split long, list long, vec_id long, codes array<short>, error double, embedding {kind}")
+    probes = arrow_map(base, queries, f"block long, split long, vec_id long, own long, lists array<int>, embedding {kind}")
+    left = probes.withColumn("share", F.pmod(F.xxhash64("vec_id"), F.col("split"))).drop("split")
+    right = coded.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("split") - 1))).drop("split")
 
     def scan(key, q: pa.Table, v: pa.Table) -> pa.Table:
-        centres, books = held.value
-        if not q.num_rows or not v.num_rows:
-            found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        else:
-            q, v = q.combine_chunks(), v.combine_chunks()
-            one = lambda t, c: t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c]
-            codes = one(v, "codes").flatten().to_numpy().reshape(-1, len(books)).astype(np.int64)
-            found = scan_list(
-                one(q, "vec_id").to_numpy(), vectors_of(one(q, "embedding"), dim), one(v, "vec_id").to_numpy(), vectors_of(one(v, "embedding"), dim),
-                codes, one(v, "error").to_numpy(), centres[key[0].as_py()], books, threshold,
-            )
-        return pa.table([pa.array(c) for c in found], names=["vec_a", "vec_b", "cosine"])
-
-    pairs = left.groupBy("list", "share").cogroup(right.groupBy("list", "share")).applyInArrow(scan, "vec_a long, vec_b long, cosine double")
+        centres, books, *_ = held.value
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if q.num_rows and v.num_rows:
+            col = lambda t, c: t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c]
+            qid, qx, own, asked = col(q, "vec_id").to_numpy(), vectors_of(col(q, "embedding"), dim), col(q, "own").to_numpy(), col(q, "lists")
+            row = np.repeat(np.arange(len(qid)), asked.value_lengths().to_numpy())
+            asked = asked.flatten().to_numpy()
+            vid, vx, home, error = col(v, "vec_id").to_numpy(), vectors_of(col(v, "embedding"), dim), col(v, "list").to_numpy(), col(v, "error").to_numpy()
+            codes = col(v, "codes").flatten().to_numpy().reshape(-1, len(books)).astype(np.int64)
+            by_q, by_v = np.argsort(asked, kind="stable"), np.argsort(home, kind="stable")
+            for c in np.unique(home):
+                m = by_v[slice(*np.searchsorted(home[by_v], [c, c + 1]))]
+                r = row[by_q[slice(*np.searchsorted(asked[by_q], [c, c + 1]))]]
+                if len(r):
+                    found.append(scan_list(qid[r], qx[r], own[r] == c, vid[m], vx[m], codes[m], error[m], centres[c], books, threshold))
+        a, b, cosine = (np.concatenate(x) for x in zip(*found))
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cosine)], names=["vec_a", "vec_b", "cosine"])
+
+    pairs = left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(scan, "vec_a long, vec_b long, cosine double")
     return pairs.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
 
 
