@@ -111,5 +111,5 @@ def coverage_matrix(pairs: DataFrame, rows: DataFrame, columns: list[str], row:
     ``rows`` are all row keys, ``columns`` all column keys; giving them spares
     the pivot a pass for the distinct values.
     """
-    there = pairs.select(row, column).distinct().groupBy(row).pivot(column, columns).agg(F.lit("Y"))
+    there = pairs.select(row, column).distinct().groupBy(row).pivot(column, columns).agg(F.max(F.lit("Y")))
     return rows.select(row).distinct().join(there, row, "left").select(row, *(F.coalesce(F.col(f"`{c}`"), F.lit("-")).alias(c) for c in columns))

@@ -75,10 +75,17 @@ def merged(facts: DataFrame, metrics: DataFrame, keys: Sequence[str] = (*KEYS, "
     return both.groupBy(*keys).agg(F.max_by("value", "_prio").alias("value"))
 
 
+def place(order: Sequence[str], key: str = "ticker") -> Column:
+    """Position of a key in a given order, 99 where it isn't there."""
+    if not order:
+        return F.lit(99)
+    known = F.create_map(*(x for i, k in enumerate(order) for x in (F.lit(k), F.lit(i))))
+    return F.coalesce(F.try_element_at(known, F.col(key)), F.lit(99))
+
+
 def ordered(df: DataFrame, order: Sequence[str], then: Sequence[str], key: str = "ticker") -> DataFrame:
     """Rows in a given order of keys, unknown ones last."""
-    place = F.coalesce(F.try_element_at(F.create_map(*(x for i, k in enumerate(order) for x in (F.lit(k), F.lit(i)))), F.col(key)), F.lit(99)) if order else F.lit(99)
-    return df.orderBy(place, *then)
+    return df.orderBy(place(order, key), *then)
 
 
 def snapshot(cube: DataFrame, amounts: Sequence[str], ratios: Sequence[str], key: str = "ticker", year: str = "fiscal_year", rounding: str = "half_even") -> DataFrame:

@@ -1 +1 @@
-
+"""Alert paths as Structured Streaming jobs."""
