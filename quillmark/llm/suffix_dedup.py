@@ -145,7 +145,7 @@ def _anchor_rows(docs: DataFrame, least: int, size: int) -> DataFrame:
     """Distinct anchors of each document and how often each is chosen."""
 
     def step(batch: pa.RecordBatch):
-        texts = texts_of(batch.column(2))
+        texts = texts_of(batch.column(1))
         for b, e in steps(texts):
             h, _, _, first = words_of(texts[b:e])
             _, grams, chosen = anchors(h, first, least, size)
@@ -156,13 +156,10 @@ def _anchor_rows(docs: DataFrame, least: int, size: int) -> DataFrame:
             new = np.ones(len(g), bool)
             new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
             starts = np.flatnonzero(new)
-            rows = pa.array(b + doc[starts])
-            yield pa.record_batch(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(g[starts].view(np.int64)), pa.array(np.diff(np.append(starts, len(g))))],
-                names=["doc_id", "_h", "anchor", "n"],
-            )
+            ids = batch.column(0).take(pa.array(b + doc[starts]))
+            yield pa.record_batch([ids, pa.array(g[starts].view(np.int64)), pa.array(np.diff(np.append(starts, len(g))))], names=["doc_id", "anchor", "n"])
 
-    return arrow_map(docs, step, "doc_id long, _h long, anchor long, n long")
+    return arrow_map(docs, step, "doc_id long, anchor long, n long")
 
 
 _SHARD = "range_id int, doc_id long, _h long, keys array<long>, docs array<long>, hs array<long>, start array<int>, end array<int>"
@@ -267,16 +264,16 @@ def repeated_spans(docs: DataFrame, least: int = MIN_WORDS, size: int = ANCHOR_W
     """``doc_id, _h`` (hash of the text) and ``_spans``: the parts of the text
     that repeat ``least`` words of an earlier place, not yet merged."""
     base = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = _anchor_rows(base, least, size)
+    rows = _anchor_rows(base.select("doc_id", "text"), least, size)
     hot = cut(rows.groupBy("anchor").agg(F.sum("n").alias("g")).where("g > 1"))
     ranges = max(1, -(-hot.count() // range_anchors))
     # Documents that share anchors come together, so most repeats are settled
     # within a shard; those of a very common anchor fill several shards.
     holds = (
-        rows.join(hot, "anchor").groupBy("doc_id", "_h")
+        rows.select("doc_id", "anchor").join(hot, "anchor").groupBy("doc_id")
         .agg(F.collect_set(F.struct("anchor", "g")).alias("_hot"), F.min("anchor").alias("_lead"))
     )
-    near = base.join(holds, ["doc_id", "_h"]).hint("rebalance", "_lead").sortWithinPartitions("_lead", "doc_id", "_h")
+    near = base.join(holds, "doc_id").hint("rebalance", "_lead").sortWithinPartitions("_lead", "doc_id", "_h")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], tuple[str, dict[int, int]]] = {}
