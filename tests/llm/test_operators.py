@@ -1,0 +1,419 @@
+"""Corpus operators against brute force and planted cases."""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quillmark.llm import decontam, license_scan, packing, pq_neardup, probminhash, quality_rank, suffix_dedup, toxicity, unit_dedup, warc_index
+from quillmark.llm.components import components
+
+WORD = re.compile(r"[^\W_]+")
+
+# 1: capture index
+
+
+@settings(deadline=None)
+@given(st.lists(st.lists(st.tuples(st.text("ab", max_size=2), st.integers(0, 3))).map(sorted), max_size=6))
+def test_loser_tree_merges(runs):
+    order = list(warc_index.LoserTree(runs))
+    assert [runs[r][i] for r, i in order] == sorted(x for run in runs for x in run)
+    assert len(set(order)) == len(order)
+
+
+def test_capture_index_over_many_ranges(spark):
+    hot = [(i, "http://WWW.hot.org/", f"v{i // 40}") for i in range(300)]
+    rows = hot + [(300 + i, f"https://m.s{i % 50}.com:80/P{i % 7}?q={i % 3}#x", f"h{i}") for i in range(700)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    one = warc_index.capture_index(pages).orderBy("pos").collect()
+    many = warc_index.capture_index(pages, run_rows=60, range_rows=90).orderBy("pos").collect()
+    assert many == one and [r.pos for r in one] == list(range(1, 1001))
+    keys = [(r.urlkey, r.ts, r.page_id) for r in one]
+    assert keys == sorted(keys)
+    mine = [r for r in many if r.urlkey == "org,hot)/"]
+    assert [r.seq for r in mine] == list(range(1, 301)) and [r.revisit for r in mine] == [i % 40 != 0 for i in range(300)]
+
+
+# 2: product quantisation
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_all_near_pairs_are_found(spark):
+    r = np.random.default_rng(5)
+    base = unit(r.normal(size=(400, 20)))
+    near = unit(np.repeat(base[:40], 5, axis=0) + r.normal(scale=0.05, size=(200, 20)))
+    x = np.concatenate([base, near, base[:3] * 4.0])
+    df = spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(4)
+    x = unit(x.astype(np.float32).astype(float))
+    i, j = np.nonzero(np.triu(x @ x.T, 1) >= 0.95)
+    want = set(zip(i.tolist(), j.tolist()))
+    got = {(r.vec_a, r.vec_b): r.cosine for r in pq_neardup.near_pairs(df, words=32, block_vectors=100, task_queries=50).collect()}
+    assert set(got) == want and len(want) > 200
+    assert all(abs(c - x[a] @ x[b]) < 1e-9 for (a, b), c in got.items())
+
+
+def test_probes_are_sufficient():
+    r = np.random.default_rng(1)
+    x, centres = unit(r.normal(size=(200, 6))), unit(r.normal(size=(12, 6)))
+    y = unit(x + r.normal(scale=0.1, size=x.shape))
+    home_x, home_y, far = pq_neardup.nearest(x, centres), pq_neardup.nearest(y, centres), np.linalg.norm(x - y, axis=1)
+    for radius in (0.2, 0.5):
+        asked = set(zip(*(v.tolist() for v in pq_neardup.sufficient_lists(x, centres, radius))))
+        assert all((k, home_y[k]) in asked for k in range(200) if far[k] <= radius and home_y[k] >= home_x[k])
+
+
+# 3: licences
+
+
+def test_licences_are_found(spark, writer, docs_of):
+    mit = license_scan.TEMPLATES["mit-permission"]
+    worn = mit.replace("copy, modify, merge,", "copy, change, merge,").replace("free of charge", "at no charge")
+    texts = [writer.text(120) + "\nLicensed under CC BY-NC 4.0.\n" + writer.text(30), writer.text(60) + " " + worn + " " + writer.text(60), writer.text(200), "Released under the MIT License. " + writer.text(20) + " Released under the MIT license!"]
+    got = license_scan.license_scan(docs_of(texts)).collect()
+    found = sorted((r.doc_id, r.license, texts[r.doc_id][r.start_char : r.end_char]) for r in got)
+    assert [f[:2] for f in found] == [(0, "cc-by-nc-4.0-line"), (1, "mit-permission"), (3, "mit-line"), (3, "mit-line")]
+    assert found[0][2] == "Licensed under CC BY-NC 4.0" and found[1][2].startswith("Permission is hereby") and found[1][2].endswith("of the Software")
+
+
+def test_alignment_is_the_longest_common_subsequence():
+    r = np.random.default_rng(2)
+    for _ in range(30):
+        a, b = r.integers(0, 4, 8), r.integers(0, 4, 12)
+        t = [[0] * 13 for _ in range(9)]
+        for i in range(8):
+            for j in range(12):
+                t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+        n, x, y = license_scan.aligned_words(a, b)
+        assert n == t[8][12]
+        if n:
+            assert b[x] in a and b[y] in a and license_scan.aligned_words(a, b[x : y + 1])[0] == n
+
+
+# 4: quality
+
+
+def test_quality_on_held_out_labels(spark, writer, docs_of):
+    def bad(i):
+        w = writer.words(80)
+        return [" ".join(x.upper() + "!!" for x in w), " ".join(x + "###" for x in w), " ".join(w[0] for _ in w), " | ".join(w)][i % 4]
+
+    texts = [bad(i) if i % 5 == 0 else writer.text(80) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(150)], "doc_id long, quality int")
+    got = {r.doc_id: r.keep for r in quality_rank.quality_rank(docs_of(texts), labels).collect()}
+    assert sum(got[i] == (i % 5 != 0) for i in range(150, 300)) >= 147
+    share = quality_rank.quality_rank(docs_of(texts), labels, quantile=0.5).where("keep").count()
+    assert abs(share - 150) <= 2
+
+
+def test_fit_is_the_optimum():
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(60, len(quality_rank.NAMES))), r.integers(0, 2, 60)
+    centre, scale, w = quality_rank.fit(x, y, each=3, ridge=0.1)
+    z = (x - centre) / scale
+    i, j = quality_rank.preference_pairs(z[y > 0], z[y == 0], 3)
+    d = z[y > 0][i] - z[y == 0][j]
+    gradient = -(d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) + 0.1 * w
+    assert np.abs(gradient).max() < 1e-5
+
+
+# 5: near duplicates
+
+
+def jaccard_by_hand(x: Counter, y: Counter) -> float:
+    both = x.keys() & y.keys()
+    every = x.keys() | y.keys()
+    return sum(1 / sum(max(x[e] / x[d], y[e] / y[d]) for e in every) for d in both)
+
+
+@settings(deadline=None, max_examples=40)
+@given(*[st.dictionaries(st.integers(0, 12), st.integers(1, 5), min_size=1, max_size=10)] * 2)
+def test_probability_jaccard(a, b):
+    f = lambda d: (np.array(sorted(d), np.uint64), np.array([d[k] for k in sorted(d)], float))
+    assert probminhash.jaccard_p(*f(a), *f(b)) == pytest.approx(jaccard_by_hand(Counter(a), Counter(b)))
+
+
+def test_signatures_estimate_it(writer):
+    texts = [writer.text(150) for _ in range(6)]
+    texts += [writer.edited(t, p) for t in texts for p in (0.05, 0.2)]
+    h, w, owner, _ = probminhash.shingles(texts)
+    sig = probminhash.signatures(h, w, owner, len(texts), 3000)
+    at = np.searchsorted(owner, np.arange(len(texts) + 1))
+    part = lambda i: (h[at[i] : at[i + 1]], w[at[i] : at[i + 1]])
+    for i in range(6):
+        for j in range(6, 18):
+            assert abs((sig[i] == sig[j]).mean() - probminhash.jaccard_p(*part(i), *part(j))) < 0.05
+
+
+def test_groups_against_brute_force(spark, writer, docs_of):
+    base = [writer.text(160) for _ in range(40)]
+    texts = base + [writer.edited(t, p) for t in base[:15] for p in (0.03, 0.08)] + base[20:23] + [b.upper() for b in base[23:25]] + [base[0][: len(base[0]) // 8] + writer.text(160)]
+    h, w, owner, _ = probminhash.shingles(texts)
+    at = np.searchsorted(owner, np.arange(len(texts) + 1))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if probminhash.jaccard_p(h[at[i] : at[i + 1]], w[at[i] : at[i + 1]], h[at[j] : at[j + 1]], w[at[j] : at[j + 1]]) >= probminhash.THRESHOLD]
+    got = {r.doc_id: r.group_id for r in probminhash.near_duplicates(docs_of(texts)).collect()}
+    assert sum(got[i] == got[j] for i, j in near) >= 0.9 * len(near) and len(near) >= 35
+    alone = set(range(len(texts))) - {x for p in near for x in p}
+    assert all(got[i] == i for i in alone)
+    kept = {r.doc_id for r in probminhash.keep_first(docs_of(texts)).collect()}
+    assert kept == {i for i in got if got[i] == i}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (105, 101), (7, 7)]
+    got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 61)} | {101: 100, 105: 100}
+
+
+# 6: lines
+
+
+def units_by_hand(texts: list[str]) -> list[str]:
+    """Text with each repeated line, then sentence, left out, one by one."""
+    norm = lambda s: (" ".join(s.lower().split()), len(s.split()))
+    lines, sentences = {}, {}
+    for d, t in enumerate(texts):
+        at = 0
+        for line in t.split("\n"):
+            n, k = norm(line)
+            parts = re.findall(r"[^.!?]+[.!?]*\s*|[.!?]+\s*", line, re.A) if k >= 5 else []
+            if k >= 4:
+                lines.setdefault(n, []).append((d, at, 0))
+            if len(parts) > 1:
+                p = at
+                for s in parts:
+                    m, q = norm(s)
+                    if q >= 5:
+                        sentences.setdefault(m, []).append((d, p, 1))
+                    p += len(s)
+            at += len(line) + 1
+    first = {}
+    for table in (lines, sentences):
+        for n, places in table.items():
+            first[n] = min([*places, first.get(n, places[0])])
+    out = []
+    for d, t in enumerate(texts):
+        at, kept = 0, []
+        all_lines = t.split("\n")
+        for i, line in enumerate(all_lines):
+            end = "\n" if i < len(all_lines) - 1 else ""
+            n, k = norm(line)
+            if not (k >= 4 and first[n] != (d, at, 0)):
+                parts = re.findall(r"[^.!?]+[.!?]*\s*|[.!?]+\s*", line, re.A) if k >= 5 else []
+                if len(parts) > 1:
+                    p = at
+                    for s in parts:
+                        m, q = norm(s)
+                        if not (q >= 5 and first[m] != (d, p, 1)):
+                            kept.append(s)
+                        p += len(s)
+                    kept.append(end)
+                else:
+                    kept.append(line + end)
+            at += len(line) + 1
+        out.append("".join(kept))
+    return out
+
+
+def test_lines_and_sentences(spark, writer, docs_of):
+    shared = [writer.text(30) for _ in range(4)]
+    texts = [writer.text(40) + "\n" + shared[i % 4] + "\n" + writer.text(20) + " " + shared[(i + 1) % 4] for i in range(12)] + [shared[0] + "\n" + shared[0], "", "ok\nok\nok"]
+    rows = {r.doc_id: r for r in unit_dedup.unit_dedup(docs_of(texts)).collect()}
+    assert [rows[i].text for i in range(len(texts))] == units_by_hand(texts)
+    for i, t in enumerate(texts):
+        spans = [tuple(map(int, s.split("-"))) for s in rows[i].removed_spans.split(";") if s]
+        assert unit_dedup.cut_out(t, spans) == rows[i].text and sum(b - a for a, b in spans) == rows[i].removed_chars
+
+
+# 7: packing
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.dictionaries(st.integers(1, 15), st.integers(1, 4), min_size=1, max_size=6))
+def test_each_window_is_as_full_as_can_be(counts):
+    capacity, left = 15, dict(counts)
+    for fill, times in packing.plan(counts, capacity):
+        for _ in range(times):
+            top = max(x for x, c in left.items() if c)
+            sums = {top}
+            have = dict(left)
+            have[top] -= 1
+            for x, c in have.items():
+                sums = {s + k * x for s in sums for k in range(c + 1) if s + k * x <= capacity}
+            assert top in fill and sum(x * k for x, k in fill.items()) == max(sums)
+            for x, k in fill.items():
+                left[x] -= k
+                assert left[x] >= 0
+    assert not any(left.values())
+
+
+def test_every_token_is_packed_once(spark, writer):
+    sizes = [writer.r.randint(0, 90) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens long").repartition(4)
+    for rank_rows in (10**6, 3):
+        rows = packing.pack_lengths(df, 32, rank_rows).collect()
+        held, used = {}, {}
+        for r in rows:
+            held.setdefault(r.doc_id, []).append((r.start_token, r.length))
+            used.setdefault(r.window_id, []).append((r.offset, r.length))
+        assert {d: n for d, n in enumerate(sizes) if n} == {d: sum(n for _, n in p) for d, p in held.items()}
+        for pieces in [*held.values(), *used.values()]:
+            at = 0
+            for a, n in sorted(pieces):
+                assert a == at
+                at += n
+        assert all(sum(n for _, n in p) <= 32 for p in used.values()) and sorted(used) == list(range(len(used)))
+        assert len(used) <= math.ceil(sum(sizes) / 32) * 1.05 + 1
+
+
+def test_tokens_are_those_of_the_vocabulary(spark, docs_of):
+    texts = ["", "Hello  world's 12 €", "日本 " * 50]
+    got = {r.doc_id: r.n_tokens for r in packing.token_counts(docs_of(texts)).collect()}
+    e = packing.encoding(packing.VOCABULARY)
+    assert got == {i: len(e.encode_ordinary(t)) for i, t in enumerate(texts)}
+    assert all(e.decode(e.encode_ordinary(t)) == t for t in texts)
+
+
+# 8: decontamination
+
+
+def edits_by_hand(item: str, text: str) -> int:
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item):
+        new = [i + 1]
+        for j, t in enumerate(text):
+            new.append(min(row[j] + (c != t), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def plain(t: str) -> str:
+    return " ".join(w.lower() for w in WORD.findall(t))
+
+
+def test_contamination_against_edit_distance(spark, writer, docs_of):
+    items = [writer.text(n) for n in (14, 20, 30, 40)]
+
+    def worn(t, n):
+        t = list(t)
+        for _ in range(n):
+            i = writer.r.randrange(len(t))
+            t[i : i + 1] = writer.r.choice(["", "x", "ab"])
+        return "".join(t)
+
+    texts = [writer.text(50) + " " + worn(items[i % 4], i // 2) + " " + writer.text(50) for i in range(32)] + [writer.text(200) for _ in range(8)] + [items[0].upper().replace(" ", " \n ")]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontam.decontaminate(docs_of(texts), bench).collect()
+    found = {(r.doc_id, r.item_id): r for r in got}
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            m = len(plain(item))
+            allowed = min(math.floor(decontam.EDIT_RATE * m), (m - decontam.Q) // decontam.Q)
+            n = edits_by_hand(plain(item), plain(t))
+            assert ((d, i) in found) == (n <= allowed), (d, i, n, allowed)
+            if n <= allowed:
+                assert found[d, i].edits == n
+    exact = found[0, 0]
+    assert plain(texts[0][exact.start_char : exact.end_char]) == plain(items[0])
+    sliced = decontam.decontaminate(docs_of(texts), bench, slice_chars=150).collect()
+    assert sorted(sliced) == sorted(got)
+    assert {r.doc_id for r in decontam.drop_contaminated(docs_of(texts), bench).collect()} == set(range(len(texts))) - {d for d, _ in found}
+
+
+# 9: toxicity
+
+
+def score_by_hand(text: str, lexicon: dict, exceptions: tuple) -> float:
+    t = toxicity._single(toxicity.fold([text])[0][0])
+    fold = lambda p: " ".join(toxicity.fold_word(p).split())
+    spans = [(m.start(), m.start() + len(e) + 2) for e in map(fold, exceptions) for m in re.finditer(f"(?= {re.escape(e)} )", t)]
+    total = 0.0
+    for w, x in lexicon.items():
+        for m in re.finditer(f"(?= {re.escape(fold(w))} )", t):
+            a, b = m.start(), m.start() + len(fold(w)) + 2
+            total += 0 if any(p <= a and b <= q for p, q in spans) else x
+    return total / max(len(t.split()), 1)
+
+
+def test_scores_against_brute_force(spark, writer, docs_of):
+    lexicon = {"idiot": 0.8, "scum": 0.9, "trash": 0.4, "löser": 0.5}
+    say = ["1D10T", "idiot,", "ѕсum", "TRASH can", "trash", "lóser", "id!ot!", "sc​um", "idiotic", "trash-can", "straße"]
+    texts = [" ".join(writer.r.choice(say + writer.words(6)) for _ in range(40)) for _ in range(60)]
+    got = {r.doc_id: r for r in toxicity.toxicity(docs_of(texts), lexicon, ("trash can",), 0.05).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].score == pytest.approx(score_by_hand(t, lexicon, ("trash can",))) and got[i].toxic == (got[i].score >= 0.05)
+
+
+@pytest.mark.parametrize(("text", "hits"), [("You 1d10t!", 1), ("mоrоn", 1), ("S7upid $cum", 2), ("take out the trash can", 0), ("trash", 1), ("idiotic", 0), ("an i-d-i-o-t", 0)])
+def test_folding(text, hits):
+    a = toxicity.automaton(toxicity.SEED_LEXICON, toxicity.EXCEPTIONS)
+    assert toxicity.score_folded(toxicity._single(toxicity.fold([text])[0][0]), a)[1] == hits
+
+
+def test_lexicon_is_learned(spark, writer, docs_of):
+    texts = [writer.text(40) + (f" grobian {writer.text(20)} schuft" if i % 3 == 0 else "") for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    words = toxicity.learn_lexicon(docs_of(texts), labels, min_docs=5)
+    assert {toxicity.fold_word("grobian"), "schuft"} <= set(words)
+    flagged = {r.doc_id for r in toxicity.toxicity(docs_of(texts), words).where("toxic").collect()}
+    assert {i for i in range(60, 90) if i % 3 == 0} <= flagged
+
+
+# 10: suffix arrays
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.integers(1, 3), max_size=60))
+def test_suffix_array_and_prefixes(tokens):
+    t = np.array([*tokens, 0])
+    order = suffix_dedup.suffix_array(t)
+    assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    lcp = suffix_dedup.common_prefixes(t, order, 8, lane=5)
+    for r in range(1, len(t)):
+        a, b = t[order[r - 1] :].tolist(), t[order[r] :].tolist()
+        assert lcp[r] == min(8, next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
+
+
+def repeats_by_hand(texts: list[str], least: int) -> list[str]:
+    seen, out = set(), []
+    for t in texts:
+        m = [(w.group().lower(), w.start(), w.end()) for w in WORD.finditer(t)]
+        spans: list[list[int]] = []
+        for p in range(len(m) - least + 1):
+            k = tuple(w for w, _, _ in m[p : p + least])
+            if k in seen:
+                a, b = m[p][1], m[p + least - 1][2]
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = max(b, spans[-1][1])
+                else:
+                    spans.append([a, b])
+            seen.add(k)
+        out.append(";".join(f"{a}-{b}" for a, b in spans))
+    return out
+
+
+@pytest.mark.parametrize(("shard", "ranges"), [(1 << 20, 50_000), (60, 7)])
+def test_repeats_against_brute_force(spark, writer, docs_of, shard, ranges):
+    passages = [writer.text(n) for n in (12, 20, 20, 40)]
+    texts = [writer.text(30) + " " + passages[i % 4] + " " + writer.text(25) for i in range(24)]
+    texts += [texts[0], texts[1].upper(), passages[3] + " " + passages[3], "la " * 40, writer.text(60), passages[2][:60]]
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(docs_of(texts), 12, 6, shard, ranges).collect()}
+    assert [got[i].removed_spans for i in range(len(texts))] == repeats_by_hand(texts, 12)
+    assert any(got[i].n_removed for i in got)
+    left = {r.doc_id: r.text for r in suffix_dedup.drop_repeats(docs_of(texts), 12, 6, shard, ranges).collect()}
+    assert all(left.get(i, "") == (got[i].text if any(c.isalnum() for c in got[i].text) else left.get(i, "")) for i in got)
+
+
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=30), st.integers(1, 9))
+def test_sliding(values, width):
+    if len(values) >= width:
+        v = np.array(values)
+        assert suffix_dedup.sliding(v, width, np.minimum).tolist() == [min(values[i : i + width]) for i in range(len(values) - width + 1)]
