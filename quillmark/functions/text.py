@@ -9,27 +9,51 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Legal forms and filler in issuer names, in alphabetical order.
-ISSUER_NOISE = tuple(sorted("CORP CORPORATION INC INCORPORATED LTD LIMITED PLC CO COMPANY HOLDINGS HOLDING GROUP THE COM SA NV AG CLASS A B C DEL NEW".split()))
+ISSUER_NOISE = tuple("A AG B C CLASS CO COM COMPANY CORP CORPORATION DEL GROUP HOLDING HOLDINGS INC INCORPORATED LIMITED LTD NEW NV PLC SA THE".split())
 
 _LEGAL = "|".join(sorted(["ag", "co", "company", "corp", "corporation", "group", "holdings?", "inc", "llc", "ltd", "nv", "plc", "platforms?", "sa", "se", "technologies", "technology", "the"], key=len, reverse=True))
 #: Words that carry no identity in a company's name.
 NAME_NOISE = rf"(?i)\b({_LEGAL})\b|[.,]|'s"
 
-#: Manager families: what the display name is known by, looked for in this order.
-FAMILIES: dict[str, str] = {
-    "Vanguard": "VANGUARD", "BlackRock": "BLACKROCK", "State Street": "STATE STREET", "Geode": "GEODE",
-    "Fidelity (FMR)": "FMR|FIDELITY", "Morgan Stanley": "MORGAN STANLEY", "Goldman Sachs": "GOLDMAN SACHS",
-    "JPMorgan": "JPMORGAN|JP MORGAN|J P MORGAN", "Bank of America": "MERRILL|BANK OF AMERICA|BOFA",
-    "Wells Fargo": "WELLS FARGO", "Northern Trust": "NORTHERN TRUST", "T. Rowe Price": "T ROWE|ROWE PRICE",
-    "Invesco": "INVESCO", "Charles Schwab": "SCHWAB", "Dimensional": "DIMENSIONAL",
-    "BNY Mellon": "MELLON|BANK OF NEW YORK", "Citadel": "CITADEL", "Citigroup": "CITIGROUP|CITIBANK", "UBS": "UBS ",
-    "Deutsche Bank": "DEUTSCHE", "Barclays": "BARCLAYS", "Credit Suisse": "CREDIT SUISSE", "Ameriprise": "AMERIPRISE",
-    "Capital Group": "CAPITAL RESEARCH|CAPITAL WORLD|CAPITAL INTERNATIONAL|CAPITAL GUARDIAN",
-    "Jane Street": "JANE STREET", "Susquehanna": "SUSQUEHANNA", "Two Sigma": "TWO SIGMA",
-    "D.E. Shaw": "D. E. SHAW|D.E. SHAW", "Millennium": "MILLENNIUM", "Point72": "POINT72",
-    "Renaissance": "RENAISSANCE TECH", "Norges (Norway)": "NORGES", "AllianceBernstein": "ALLIANCEBERNSTEIN",
-    "Legal & General": "LEGAL & GENERAL", "Franklin": "FRANKLIN RES",
-}
+#: Manager families: when their names are looked for, and what those are.
+_FAMILIES = {
+    "AllianceBernstein": (32, "ALLIANCEBERNSTEIN"),
+    "Ameriprise": (22, "AMERIPRISE"),
+    "Bank of America": (8, "MERRILL|BANK OF AMERICA|BOFA"),
+    "Barclays": (20, "BARCLAYS"),
+    "BlackRock": (1, "BLACKROCK"),
+    "BNY Mellon": (15, "MELLON|BANK OF NEW YORK"),
+    "Capital Group": (23, "CAPITAL RESEARCH|CAPITAL WORLD|CAPITAL INTERNATIONAL|CAPITAL GUARDIAN"),
+    "Charles Schwab": (13, "SCHWAB"),
+    "Citadel": (16, "CITADEL"),
+    "Citigroup": (17, "CITIGROUP|CITIBANK"),
+    "Credit Suisse": (21, "CREDIT SUISSE"),
+    "D.E. Shaw": (27, "D. E. SHAW|D.E. SHAW"),
+    "Deutsche Bank": (19, "DEUTSCHE"),
+    "Dimensional": (14, "DIMENSIONAL"),
+    "Fidelity (FMR)": (4, "FMR|FIDELITY"),
+    "Franklin": (34, "FRANKLIN RES"),
+    "Geode": (3, "GEODE"),
+    "Goldman Sachs": (6, "GOLDMAN SACHS"),
+    "Invesco": (12, "INVESCO"),
+    "Jane Street": (24, "JANE STREET"),
+    "JPMorgan": (7, "JPMORGAN|JP MORGAN|J P MORGAN"),
+    "Legal & General": (33, "LEGAL & GENERAL"),
+    "Millennium": (28, "MILLENNIUM"),
+    "Morgan Stanley": (5, "MORGAN STANLEY"),
+    "Norges (Norway)": (31, "NORGES"),
+    "Northern Trust": (10, "NORTHERN TRUST"),
+    "Point72": (29, "POINT72"),
+    "Renaissance": (30, "RENAISSANCE TECH"),
+    "State Street": (2, "STATE STREET"),
+    "Susquehanna": (25, "SUSQUEHANNA"),
+    "T. Rowe Price": (11, "T ROWE|ROWE PRICE"),
+    "Two Sigma": (26, "TWO SIGMA"),
+    "UBS": (18, "UBS "),
+    "Vanguard": (0, "VANGUARD"),
+    "Wells Fargo": (9, "WELLS FARGO"),
+}
+FAMILIES: dict[str, str] = {name: parts for name, (_, parts) in sorted(_FAMILIES.items(), key=lambda f: f[1][0])}
 
 #: Parts of a padded upper-case issuer name that mark a fund.
 FUND_MARKS = tuple(sorted([
