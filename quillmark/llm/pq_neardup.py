@@ -23,6 +23,8 @@ BLOCK_VECTORS, TASK_QUERIES = 16_384, 20_000
 STEP_CELLS = 1 << 19
 #: Rounding that the bounds leave room for.
 EPS = 1e-5
+#: The same for tables, which have single precision.
+TABLE_EPS = 1e-4
 
 
 def vectors_of(column: pa.Array, dim: int) -> np.ndarray:
@@ -104,29 +106,44 @@ def blocks_of(centres: np.ndarray, sizes: np.ndarray, limit: int) -> np.ndarray:
     return out
 
 
-def scan_list(qid: np.ndarray, q: np.ndarray, home: np.ndarray, vid: np.ndarray, v: np.ndarray, codes: np.ndarray, error: np.ndarray, centre: np.ndarray, books: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def query_tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """For each query and part the inner products with all words.  They don't
+    depend on the list, so a query needs one table however many lists it asks."""
+    return np.einsum("qmd,mwd->qmw", parts_of(q, len(books)), books, optimize=True).astype(np.float32)
+
+
+def member_terms(codes: np.ndarray, home: np.ndarray, centres: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """For each member 2 c.w + |w|^2, c being its centre and w what its codes
+    stand for: the part of a distance that no query changes."""
+    out = np.zeros(len(codes))
+    centre = parts_of(centres, len(books))
+    for m, book in enumerate(books):
+        w = book[codes[:, m]]
+        out += 2 * np.einsum("nd,nd->n", w, centre[home, m]) + (w * w).sum(axis=1)
+    return out
+
+
+def scan_list(qid: np.ndarray, q: np.ndarray, tables: np.ndarray, home: np.ndarray, vid: np.ndarray, v: np.ndarray, codes: np.ndarray, terms: np.ndarray, error: np.ndarray, centre: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (query, member) of a list with their cosine.  Queries whose
     ``home`` is the list meet members of greater id only.
 
-    Asymmetric distances come from a table for each query.  A member whose
-    codes are ``error`` off can be within the radius only if its table distance
-    is at most radius + error; what passes is reranked by its exact cosine.
+    The asymmetric distance |q - c - w|^2 is |q - c|^2 plus the member's term
+    less twice what the query's table has for the member's codes.  A member
+    whose codes are ``error`` off can be within the radius only if that is at
+    most radius + error; what passes is reranked by its exact cosine.
     """
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
-    limit = (radius + error + EPS) ** 2
-    rows: list[tuple] = []
-    for a, b in _chunks(len(q), max(books.shape[0] * books.shape[1], len(vid))):
-        sub = parts_of(q[a:b] - centre, len(books))
-        far = np.zeros((b - a, len(vid)))
-        for m, book in enumerate(books):
-            table = (sub[:, m] ** 2).sum(axis=1)[:, None] + (book**2).sum(axis=1)[None, :] - 2 * (sub[:, m] @ book.T)
-            far += table[:, codes[:, m]]
-        once = np.where(home[a:b][:, None], qid[a:b][:, None] < vid[None, :], qid[a:b][:, None] != vid[None, :])
-        i, j = np.nonzero((far <= limit[None, :] + EPS) & once)
-        cosine = np.einsum("ij,ij->i", q[a + i], v[j])
-        ok = cosine >= threshold
-        rows.append((qid[a + i[ok]], vid[j[ok]], cosine[ok]))
-    return tuple(np.concatenate(c) for c in zip(*rows)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    apart = ((q - centre) ** 2).sum(axis=1).astype(np.float32)
+    least = ((terms - (radius + error) ** 2 - TABLE_EPS) / 2).astype(np.float32)
+    found = np.zeros((len(q), len(vid)), np.float32)
+    for m in range(tables.shape[1]):
+        found += np.take(tables[:, m], codes[:, m], axis=1)
+    i, j = np.nonzero(found >= least[None, :] + apart[:, None] / 2)
+    once = np.where(home[i], qid[i] < vid[j], qid[i] != vid[j])
+    i, j = i[once], j[once]
+    cosine = np.einsum("ij,ij->i", q[i], v[j])
+    ok = cosine >= threshold
+    return qid[i[ok]], vid[j[ok]], cosine[ok]
 
 
 def _lloyd(df: DataFrame, centres: np.ndarray, points, passes: int) -> np.ndarray:
@@ -272,12 +289,21 @@ def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD, parts: int =
             asked = asked.flatten().to_numpy()
             vid, vx, home, error = col(v, "vec_id").to_numpy(), vectors_of(col(v, "embedding"), dim), col(v, "list").to_numpy(), col(v, "error").to_numpy()
             codes = col(v, "codes").flatten().to_numpy().reshape(-1, len(books)).astype(np.int64)
-            by_q, by_v = np.argsort(asked, kind="stable"), np.argsort(home, kind="stable")
-            for c in np.unique(home):
-                m = by_v[slice(*np.searchsorted(home[by_v], [c, c + 1]))]
-                r = row[by_q[slice(*np.searchsorted(asked[by_q], [c, c + 1]))]]
-                if len(r):
-                    found.append(scan_list(qid[r], qx[r], own[r] == c, vid[m], vx[m], codes[m], error[m], centres[c], books, threshold))
+            by_v = np.argsort(home, kind="stable")
+            vid, vx, codes, error, home = vid[by_v], vx[by_v], codes[by_v], error[by_v], home[by_v]
+            terms = member_terms(codes, home, centres, books)
+            kinds, heads = np.unique(home, return_index=True)
+            tails = np.append(heads[1:], len(home))
+            for x, y in _chunks(len(qid), books.shape[0] * books.shape[1]):
+                tables = query_tables(qx[x:y], books)
+                mine = slice(*np.searchsorted(row, [x, y]))
+                by_q = np.argsort(asked[mine], kind="stable")
+                r_all, asked_all = row[mine][by_q] - x, asked[mine][by_q]
+                for c, h, t in zip(kinds, heads, tails):
+                    r_list = r_all[slice(*np.searchsorted(asked_all, [c, c + 1]))]
+                    for g, e in _chunks(len(r_list), t - h):
+                        r = r_list[g:e]
+                        found.append(scan_list(qid[x + r], qx[x + r], tables[r], own[x + r] == c, vid[h:t], vx[h:t], codes[h:t], terms[h:t], error[h:t], centres[c], threshold))
         a, b, cosine = (np.concatenate(x) for x in zip(*found))
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cosine)], names=["vec_a", "vec_b", "cosine"])
 
