@@ -4,6 +4,7 @@ bands, then banded alignment."""
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -130,8 +131,8 @@ class Index:
         return np.repeat(at, n), self.item[flat], self.pos[flat]
 
     def candidates(self, grams: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """Item, first and last diagonal, shared grams of each band that meets
-        the lemma's bound."""
+        """Item, first and last diagonal of each run of bands that meet the
+        lemma's bound, and the most grams that one of them shares."""
         if not len(self.key):
             return []
         p, item, o = self.hits(grams)
@@ -146,33 +147,64 @@ class Index:
         code, count = np.unique(code, return_counts=True)
         item, band = code // width, code % width
         ok = count >= self.need_a[item]
-        first = (band[ok] << self.z[item[ok]]) - (1 << 20)
-        last = first + (1 << self.z[item[ok]]) + self.edits_a[item[ok]] - 1
-        return list(zip(item[ok].tolist(), first.tolist(), last.tolist(), count[ok].tolist()))
-
-
-def banded_alignment(item: np.ndarray, text: np.ndarray, first: int, last: int, edits: int) -> tuple[int, int]:
-    """Least edits of ``item`` against any part of ``text`` within diagonals
-    ``first`` to ``last``, and the end of that part; ``edits + 1`` if more."""
+        if not ok.any():
+            return []
+        item, count = item[ok], count[ok]
+        first = (band[ok] << self.z[item]) - (1 << 20)
+        last = first + (1 << self.z[item]) + self.edits_a[item] - 1
+        # bands of an item that touch are aligned as one
+        new = np.append(True, (item[1:] != item[:-1]) | (first[1:] > last[:-1] + 1))
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], len(item)) - 1
+        most = np.maximum.reduceat(count, heads)
+        return list(zip(item[heads].tolist(), first[heads].tolist(), last[tails].tolist(), most.tolist()))
+
+
+def banded_alignment(item: np.ndarray, text: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Least edits of ``item`` against any part of ``text`` that begins within
+    diagonals ``first`` to ``last`` and stays there, for each end: entry ``k``
+    is for the end ``first + k + len(item)``."""
     far = 1 << 28
     width = last - first + 1
-    steps_ = np.arange(width)
-    row = np.where((steps_ + first >= 0) & (steps_ + first <= len(text)), 0, far)
+    cells = np.arange(width)
+    row = np.where((cells + first >= 0) & (cells + first <= len(text)), 0, far)
     padded = np.full(width + len(item) + 2, 0xFFFFFFFF, np.uint32)
-    a = max(0, first)
-    b = min(len(text), last + len(item) + 1)
+    a, b = max(0, first), min(len(text), last + len(item) + 1)
     if b > a:
         padded[a - first : b - first] = text[a:b]
     for i in range(len(item)):
         # cell k is text offset first + k + i + 1; a substitution or match keeps k
-        same = padded[i : i + width] == item[i]
-        new = row + ~same
+        new = row + (padded[i : i + width] != item[i])
         new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        at = first + steps_ + i + 1
-        new[(at < 0) | (at > len(text))] = far
-        row = np.minimum.accumulate(new - steps_) + steps_
-    k = int(np.argmin(row))
-    return (int(row[k]), first + k + len(item)) if row[k] <= edits else (edits + 1, 0)
+        low, high = -(first + i + 1), len(text) - (first + i + 1)
+        if low > 0:
+            new[:low] = far
+        if high < width - 1:
+            new[max(0, high + 1) :] = far
+        row = np.minimum.accumulate(new - cells) + cells
+    return row
+
+
+def occurrences(item: np.ndarray, text: np.ndarray, first: int, last: int, edits: int) -> list[tuple[int, int, int]]:
+    """Start, end and edits of the parts of ``text`` that are the item within
+    ``edits``, the best first; an end nearer than the shortest occurrence to a
+    better one is the same occurrence."""
+    row = banded_alignment(item, text, first, last)
+    ends = np.flatnonzero(row <= edits)
+    ends = ends[np.lexsort((ends, row[ends]))]
+    taken = np.zeros(len(row), bool)
+    out = []
+    for k in ends.tolist():
+        if taken[k]:
+            continue
+        near = len(item) - edits
+        taken[max(0, k - near + 1) : k + near] = True
+        end = first + k + len(item)
+        back = banded_alignment(item[::-1], text[:end][::-1], -edits, edits)
+        j = int(np.argmin(back))
+        size = j - edits + len(item) if back[j] <= row[k] else len(item)
+        out.append((max(0, end - size), end, int(row[k])))
+    return out
 
 
 def matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int, int]]:
@@ -181,30 +213,30 @@ def matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, in
     ends = np.flatnonzero(classes == 63)
     heads = np.concatenate([[0], ends[:-1] + 1])
     grams = packed_grams(classes, index.q)
-    best: dict[tuple[int, int, int], tuple] = {}
+    found = []
     for item, first, last, shared in index.candidates(grams):
         want, e = index.letters[item], index.edits[item]
-        # the band may touch more than one text
+        # the bands may touch more than one text
         lo = np.searchsorted(ends, max(0, first - e), "left")
         hi = np.searchsorted(ends, min(len(letters) - 1, last + len(want) + e), "left")
         for t in range(lo, min(hi, len(ends) - 1) + 1):
             part = letters[heads[t] : ends[t]]
-            f, l = int(first - e - heads[t]), int(last + e - heads[t])
-            cost, end = banded_alignment(want, part, f, l, e)
-            if cost > e:
+            f, l = max(int(first - e - heads[t]), -len(want)), min(int(last + e - heads[t]), len(part))
+            if f > l:
                 continue
-            back, size = banded_alignment(want[::-1], part[:end][::-1], -e, e, e)
-            start = end - size if back <= cost else max(0, end - len(want))
-            x = int(at[heads[t] + start] - begins[t])
-            y = int(at[heads[t] + end - 1] - begins[t]) + 1
-            key = (t, item, y // max(1, len(want)))
-            if key not in best or (cost, x) < best[key][:2]:
-                best[key] = cost, x, y, shared
-    found = [(t, i, x, y, c, s) for (t, i, _), (c, x, y, s) in best.items()]
+            for start, end, cost in occurrences(want, part, f, l, e):
+                x = int(at[heads[t] + start] - begins[t])
+                y = int(at[heads[t] + end - 1] - begins[t]) + 1
+                found.append((t, item, x, y, cost, shared))
     # overlapping finds of one item: the one of fewest edits
     out: list[tuple] = []
+    taken: dict[tuple[int, int], tuple[list, list]] = {}
     for r in sorted(found, key=lambda r: (r[0], r[1], r[4], r[2])):
-        if all((r[0], r[1]) != (o[0], o[1]) or r[3] <= o[2] or o[3] <= r[2] for o in out[-64:]):
+        ends_, starts_ = taken.setdefault((r[0], r[1]), ([], []))
+        k = bisect_right(ends_, r[2])  # spans taken don't overlap, so both lists are in order
+        if k == len(ends_) or starts_[k] >= r[3]:
+            ends_.insert(k, r[3])
+            starts_.insert(k, r[2])
             out.append(r)
     return out
 
