@@ -328,6 +328,12 @@ def test_contamination_against_edit_distance(spark, writer, docs_of):
     assert {r.doc_id for r in decontam.drop_contaminated(docs_of(texts), bench).collect()} == set(range(len(texts))) - {d for d, _ in found}
 
 
+def test_shared_grams_below_the_bound_are_no_match(writer):
+    item = writer.text(30)
+    index = decontam.Index([(0, item)], decontam.Q, decontam.EDIT_RATE)
+    assert decontam.matches([item[: len(item) // 3] + writer.text(60)], index) == [] and decontam.matches([writer.text(60)], index) == [] and decontam.matches(["", item], index)[0][:2] == (1, 0)
+
+
 # 9: toxicity
 
 
