@@ -48,3 +48,10 @@ def instant_period(end: Column, month: Column, day: Column) -> Column:
     """``FY`` at the year end, else the quarter."""
     q = fiscal_quarter(end, month, day)
     return F.when(q == 4, "FY").when(q.isNotNull(), F.concat(F.lit("Q"), q.cast("string")))
+
+
+def within_hours(ts: Column, zone: str = "America/New_York", first: int = 6, last: int = 22) -> Column:
+    """Whether an instant lies on a working day from hour ``first`` to before
+    ``last`` of a zone, daylight saving included."""
+    local = F.from_utc_timestamp(ts, zone)
+    return (F.weekday(local) < 5) & (F.hour(local) >= first) & (F.hour(local) < last)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.functions import fiscal
 from quillmark.functions import text as X
 from quillmark.operators import context as C
 from quillmark.operators import holdings as H
@@ -160,8 +161,8 @@ WHERE isodow({_NY}) <= 5 AND hour({_NY}) >= 6 AND hour({_NY}) < 22
 def hours_gate(spark: SparkSession, d: str) -> DataFrame:
     """Events within filing hours in New York."""
     local = F.from_utc_timestamp(F.col("ts").cast("timestamp"), "America/New_York")
-    e = table(spark, d, "events").select("event_id", F.hour(local).alias("hour"), F.weekday(local).alias("weekday"))
-    return e.where((F.col("weekday") < 5) & (F.col("hour") >= 6) & (F.col("hour") < 22))
+    inside = table(spark, d, "events").where(fiscal.within_hours(F.col("ts").cast("timestamp")))
+    return inside.select("event_id", F.hour(local).alias("hour"), F.weekday(local).alias("weekday"))
 
 
 @query("""
