@@ -12,11 +12,13 @@ from quillmark.llm.components import components
 
 #: Words of a shingle; its weight is how often it occurs in the document.
 K = 3
-#: Bands of so many registers.  At probability Jaccard 0.48 a pair shares a
-#: band with probability 0.99, at 0.6 with 0.9999.
-BANDS, ROWS = 42, 3
-#: Probability Jaccard from which documents are near duplicates.
-THRESHOLD = 0.48
+#: Bands of so many registers.  At probability Jaccard 0.35 a pair shares a
+#: band with probability 0.89, at 0.5 with 0.999.
+BANDS, ROWS = 50, 3
+#: Least probability Jaccard of near duplicates, over shingles and over single
+#: words.  Scattered edits break many shingles but few words; a long passage in
+#: texts that differ otherwise keeps its shingles but not most words.
+THRESHOLD, WORD_THRESHOLD = 0.3, 0.65
 
 
 def shingles(texts: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,26 +115,38 @@ def _sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return arrow_map(docs, step, "doc_id long, hi long, lo long, bands array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The pairs (``a, b``) whose documents reach the threshold."""
+def similarities(x: list[str], y: list[str], k: int) -> np.ndarray:
+    """Probability Jaccard of each text of ``x`` with that of ``y``."""
+    n = len(x)
+    h, w, owner, _ = shingles(x + y, k)
+    at = np.searchsorted(owner, np.arange(2 * n + 1))
+    part = lambda i: (h[at[i] : at[i + 1]], w[at[i] : at[i + 1]])
+    return np.array([jaccard_p(*part(i), *part(n + i)) for i in range(n)])
+
+
+def alike(x: list[str], y: list[str], k: int, threshold: float, word_threshold: float) -> np.ndarray:
+    """Which pairs of texts are near duplicates."""
+    out = similarities(x, y, k) >= threshold
+    if k > 1 and out.any():
+        some = np.flatnonzero(out)
+        out[some] = similarities([x[i] for i in some], [y[i] for i in some], 1) >= word_threshold
+    return out
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, threshold: float, word_threshold: float) -> DataFrame:
+    """The pairs (``a, b``) whose documents are near duplicates."""
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("_x"))
     right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("_y"))
 
     def step(batch: pa.RecordBatch):
         x, y = texts_of(batch.column(2)), texts_of(batch.column(3))
-        keep = []
-        for b, e in steps([s + t for s, t in zip(x, y)]):
-            hs, ws, owner, _ = shingles(x[b:e] + y[b:e], k)
-            cuts = np.searchsorted(owner, np.arange(2 * (e - b) + 1))
-            for i in range(e - b):
-                p, q, r, s = cuts[i], cuts[i + 1], cuts[e - b + i], cuts[e - b + i + 1]
-                keep.append(jaccard_p(hs[p:q], ws[p:q], hs[r:s], ws[r:s]) >= threshold)
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+        keep = [alike(x[b:e], y[b:e], k, threshold, word_threshold) for b, e in steps([s + t for s, t in zip(x, y)])]
+        yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep)))
 
     return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y"), step, "a long, b long")
 
 
-def groups(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def groups(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, word_threshold: float = WORD_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """``doc_id, group_id`` of the documents that have words, one row for each
     row; and the verified pairs (``a, b``) of distinct texts."""
     base = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -149,13 +163,13 @@ def groups(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS, th
     # In each bucket all are held against the first.  Those it doesn't reach
     # are held against the first of them: they may be alike without it.
     pairs = members.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    found = cut(_verified(base, pairs, k, threshold).distinct())
+    found = cut(_verified(base, pairs, k, threshold, word_threshold).distinct())
     rest = members.join(found.select(F.col("a").alias("lead"), F.col("b").alias("doc_id")), ["lead", "doc_id"], "left_anti")
     again = (
         rest.select("key", "doc_id", F.min("doc_id").over(bucket).alias("a")).where("doc_id <> a")
         .select("a", F.col("doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     )
-    more = cut(_verified(base, again, k, threshold).distinct())
+    more = cut(_verified(base, again, k, threshold, word_threshold).distinct())
     edges = found.unionByName(more)
     # A row of a repeated doc_id may be a copy of two texts: those meet too.
     roots = components(edges.unionByName(tagged.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")))
@@ -163,13 +177,13 @@ def groups(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS, th
     return out, edges
 
 
-def near_duplicates(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, word_threshold: float = WORD_THRESHOLD) -> DataFrame:
     """Groups of near duplicates over all documents.
 
     Word shingles weighted by their counts get ProbMinHash signatures; texts
     that share a band meet at the first document of the bucket and are verified
-    on the exact probability Jaccard of their whole texts.  Those that the first
-    doesn't reach meet once more among themselves.  Groups are the connected
+    on the exact probability Jaccard of their whole texts, over shingles and over
+    words.  Those that the first doesn't reach meet once more among themselves.  Groups are the connected
     components.
 
     Result, one row for each row of ``docs``: ``doc_id, group_id`` (least
@@ -180,18 +194,18 @@ def near_duplicates(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int =
     the same result.  Further columns are ignored; an empty table gives an
     empty result.
     """
-    found, _ = groups(docs, k, bands, rows, threshold)
+    found, _ = groups(docs, k, bands, rows, threshold, word_threshold)
     other = found.where("doc_id <> group_id").distinct()
     return docs.select("doc_id").join(other, "doc_id", "left").select(
         "doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.col("group_id").isNull().alias("keep")
     )
 
 
-def keep_first(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def keep_first(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, word_threshold: float = WORD_THRESHOLD) -> DataFrame:
     """Rows of ``docs`` without all but the first document of each group, all
     columns as they were.  Of repeated rows of a kept ``doc_id`` one stays, that
     of least text; rows of null ``doc_id`` all stay."""
-    found, _ = groups(docs, k, bands, rows, threshold)
+    found, _ = groups(docs, k, bands, rows, threshold, word_threshold)
     gone = found.where("doc_id <> group_id").select("doc_id").distinct()
     twice = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 AND doc_id IS NOT NULL").select("doc_id"))
     once = docs.join(gone.unionByName(twice), "doc_id", "left_anti")

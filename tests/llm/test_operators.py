@@ -155,10 +155,10 @@ def test_signatures_estimate_it(writer):
 
 def test_groups_against_brute_force(spark, writer, docs_of):
     base = [writer.text(160) for _ in range(40)]
-    texts = base + [writer.edited(t, p) for t in base[:15] for p in (0.03, 0.08)] + base[20:23] + [b.upper() for b in base[23:25]] + [base[0][: len(base[0]) // 8] + writer.text(160)]
-    h, w, owner, _ = probminhash.shingles(texts)
-    at = np.searchsorted(owner, np.arange(len(texts) + 1))
-    near = [(i, j) for i in range(len(texts)) for j in range(i) if probminhash.jaccard_p(h[at[i] : at[i + 1]], w[at[i] : at[i + 1]], h[at[j] : at[j + 1]], w[at[j] : at[j + 1]]) >= probminhash.THRESHOLD]
+    texts = base + [writer.edited(t, p) for t in base[:15] for p in (0.05, 0.15)] + base[20:23] + [b.upper() for b in base[23:25]] + [base[30][: len(base[30]) * 6 // 10] + " " + writer.text(60)]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    same = [[probminhash.similarities([texts[i]], [texts[j]], k)[0] for k in (3, 1)] for i, j in pairs]
+    near = [p for p, (a, b) in zip(pairs, same) if a >= probminhash.THRESHOLD and b >= probminhash.WORD_THRESHOLD]
     got = {r.doc_id: r.group_id for r in probminhash.near_duplicates(docs_of(texts)).collect()}
     assert sum(got[i] == got[j] for i, j in near) >= 0.9 * len(near) and len(near) >= 35
     alone = set(range(len(texts))) - {x for p in near for x in p}
