@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import zlib
 
 import ahocorasick
 import numpy as np
@@ -30,9 +31,11 @@ EXCEPTIONS = (
 THRESHOLD = 0.0025
 #: Bound on the labelled documents that the lexicon is learned from.
 LEARN_DOCS = 20_000
-#: A learned word needs so many toxic documents, and this share of them.
+#: A learned word needs so many toxic documents, this share of them, and so many
+#: different words before it for each of them.
 MIN_DOCS = 3
 MIN_SHARE = 0.005
+MIN_CONTEXTS = 0.5
 MIN_LOG_ODDS = 3.0
 FULL_LOG_ODDS = 6.0
 
@@ -127,15 +130,17 @@ def score_folded(text: str, a: ahocorasick.Automaton) -> tuple[float, int]:
     return math.fsum(hits), len(hits)
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, bound: int = LEARN_DOCS, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> dict[str, float]:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, bound: int = LEARN_DOCS, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_contexts: float = MIN_CONTEXTS) -> dict[str, float]:
     """Words that labelled toxic documents hold far more often than others.
 
     ``bound`` is the largest number of labelled documents used (those of least
     id hash), so the word counts and the lexicon are bounded too.  Copies of a
     text count once.  A word needs ``min_docs`` toxic documents, ``min_share`` of
-    all of them (so that a passage some of them share teaches nothing) and log
-    odds of ``MIN_LOG_ODDS``; its weight is the log odds over ``FULL_LOG_ODDS``, 1 at
-    most.  Without labels the result is empty.
+    all of them, and log odds of ``MIN_LOG_ODDS``.  It also has to follow on
+    ``min_contexts`` different words for each of these documents: an insult
+    stands anywhere, while the words of a passage or of near copies always
+    follow on the same, however many documents hold them.  The weight is the log
+    odds over ``FULL_LOG_ODDS``, 1 at most.  Without labels the result is empty.
     """
     picked = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -150,19 +155,29 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, bound: int = LEARN_DOCS, m
 
     def step(batch: pa.RecordBatch):
         counts: dict[str, list[int]] = {}
+        follows: set[tuple[str, int]] = set()
         toxic = batch.column(0).to_pylist()
         texts = texts_of(batch.column(1))
         t = [0, 0]
         for b, e in steps(texts):
             for folded, y in zip(fold(texts[b:e])[0], toxic[b:e]):
                 t[y > 0] += 1
-                for w in set(folded.split()):
+                words = folded.split()
+                for w in set(words):
                     counts.setdefault(w, [0, 0])[y > 0] += 1
+                if y > 0:
+                    follows |= {(w, zlib.crc32(before.encode("utf-8", "surrogatepass")) + 1) for before, w in zip(["", *words], words)}
         counts[""] = t
-        yield pa.record_batch([pa.array(list(counts)), pa.array([c[0] for c in counts.values()]), pa.array([c[1] for c in counts.values()])], names=["w", "n", "t"])
-
-    words = arrow_map(sample.select("_toxic", "text"), step, "w string, n long, t long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    rows = words.where((F.col("t") >= min_docs) & (F.col("n") <= F.col("t")) | (F.col("w") == "")).collect()
+        follow = list(follows)
+        w = [*counts, *(w for w, _ in follow)]
+        c = [0] * len(counts) + [c for _, c in follow]
+        n, t = ([*(x[k] for x in counts.values()), *[0] * len(follow)] for k in (0, 1))
+        yield pa.record_batch([pa.array(w), *(pa.array(x, pa.int64()) for x in (c, n, t))], names=["w", "c", "n", "t"])
+
+    each = arrow_map(sample.select("_toxic", "text"), step, "w string, c long, n long, t long").groupBy("w", "c").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    words = each.groupBy("w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.count_if(F.col("c") > 0).alias("c"))
+    enough = (F.col("t") >= min_docs) & (F.col("n") <= F.col("t")) & (F.col("c") >= min_contexts * F.col("t"))
+    rows = words.where(enough | (F.col("w") == "")).collect()
     total = next(((r.n, r.t) for r in rows if r.w == ""), (0, 0))
     out = {}
     for r in rows:
