@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -241,12 +242,14 @@ def matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, in
     return out
 
 
-def _slices(benchmark: DataFrame, limit: int) -> list[list[tuple[int, str]]]:
+def _slices(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark slice by slice, one of them in the driver at a time."""
     base = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(chars / limit))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r.item_id, r.text) for r in base.where(part == s).orderBy("item_id", "text").collect()] for s in range(n)]
+    for s in range(n):
+        yield [(r.item_id, r.text) for r in base.where(part == s).orderBy("item_id", "text").collect()]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, slice_chars: int = SLICE_CHARS) -> DataFrame:
@@ -295,7 +298,8 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], q: int, rate: float) ->
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """Rows of ``docs`` without any benchmark passage, all columns as they
-    were.  Rows are judged one by one, so no join is needed."""
+    were.  Rows are judged one by one, so no join is needed.  Null and short texts
+    stay; repeated rows share their fate; without benchmark items all rows stay."""
     for items in _slices(benchmark, slice_chars):
         held = docs.sparkSession.sparkContext.broadcast(items)
         docs = arrow_map(docs, _dropper(held, q, rate), docs.schema)

@@ -244,7 +244,8 @@ def keep_clean(docs: DataFrame, lexicon: dict[str, float], exceptions: tuple[str
     """Rows of ``docs`` that aren't toxic, all columns as they were.
 
     The verdict is made row by row in the same Arrow pass, so neither a join
-    nor a unique ``doc_id`` is needed.
+    nor a unique ``doc_id`` is needed.  Null and wordless texts stay; repeated
+    rows share their fate; an empty table stays empty.
     """
     built: list = []
 
