@@ -3,6 +3,12 @@
 Each stage takes the rows that its predecessor kept and gives the columns of
 ``documents``, but for the last, which gives the pieces of each window.  Between
 stages the rows are written as Parquet and read again.
+
+For all stages: null and empty texts pass every filter and give no tokens; rows
+of null ``doc_id`` are judged by their own text but not compared with others;
+of repeated rows of one ``doc_id`` one stays at the near-duplicate stage; further
+columns pass through, whatever they are called; very long texts are worked on
+whole; an empty table stays empty.
 """
 
 from __future__ import annotations
