@@ -155,22 +155,15 @@ def groups(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS, th
     same = sketch.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
     tagged = cut(sketch.select("doc_id", "hi", "lo").join(same, ["hi", "lo"]).select("doc_id", "rep"))
     reps = sketch.join(tagged.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    bucket = Window.partitionBy("key")
-    members = cut(
+    # In each bucket all are held against the first two: should the first be
+    # like none of the others, they still meet at the second.
+    bucket = Window.partitionBy("key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pairs = cut(
         reps.select("doc_id", F.explode("bands").alias("key"))
-        .withColumn("lead", F.min("doc_id").over(bucket)).where("doc_id <> lead").distinct()
+        .select(F.col("doc_id").alias("b"), F.first("doc_id").over(bucket).alias("one"), F.nth_value("doc_id", 2).over(bucket).alias("two"))
+        .where("b > one").select("b", F.explode(F.array("one", "two")).alias("a")).where("a < b").distinct()
     )
-    # In each bucket all are held against the first.  Those it doesn't reach
-    # are held against the first of them: they may be alike without it.
-    pairs = members.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    found = cut(_verified(base, pairs, k, threshold, word_threshold).distinct())
-    rest = members.join(found.select(F.col("a").alias("lead"), F.col("b").alias("doc_id")), ["lead", "doc_id"], "left_anti")
-    again = (
-        rest.select("key", "doc_id", F.min("doc_id").over(bucket).alias("a")).where("doc_id <> a")
-        .select("a", F.col("doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    )
-    more = cut(_verified(base, again, k, threshold, word_threshold).distinct())
-    edges = found.unionByName(more)
+    edges = cut(_verified(base, pairs, k, threshold, word_threshold).distinct())
     # A row of a repeated doc_id may be a copy of two texts: those meet too.
     roots = components(edges.unionByName(tagged.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")))
     out = tagged.select("doc_id").join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"))
@@ -183,7 +176,7 @@ def near_duplicates(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int =
     Word shingles weighted by their counts get ProbMinHash signatures; texts
     that share a band meet at the first document of the bucket and are verified
     on the exact probability Jaccard of their whole texts, over shingles and over
-    words.  Those that the first doesn't reach meet once more among themselves.  Groups are the connected
+    words.  Groups are the connected
     components.
 
     Result, one row for each row of ``docs``: ``doc_id, group_id`` (least
@@ -208,6 +201,8 @@ def keep_first(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS
     found, _ = groups(docs, k, bands, rows, threshold, word_threshold)
     gone = found.where("doc_id <> group_id").select("doc_id").distinct()
     twice = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    if not twice.head(1):
+        return docs.join(gone, "doc_id", "left_anti")
     once = docs.join(gone.unionByName(twice), "doc_id", "left_anti")
     one = Window.partitionBy("doc_id").orderBy("text")
     several = docs.join(twice.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi").withColumn("_quillmark_row", F.row_number().over(one)).where("_quillmark_row = 1").drop("_quillmark_row")
