@@ -50,3 +50,10 @@ def test_stream_equals_batch(spark, tmp_path, parts):
             want.append((f"u{i:02d}",))
             last[k] = i * DAY
     assert got(out, "uid") == want
+
+
+def test_first_seen(spark, tmp_path):
+    rows = [("a", 0), ("b", 10), ("a", 60), ("c", 60), ("b", 120), ("a", 120)]
+    df = spark.createDataFrame(rows, "uid string, now long").selectExpr("uid", "now", "timestamp_seconds(now) AS ts")
+    out = jobs.replay(df, lambda s: P.first_seen(s, "1 hour"), "now", parts=3, work=str(tmp_path))
+    assert got(out, "uid") == [("a",), ("b",), ("c",)]
