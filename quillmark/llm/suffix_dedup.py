@@ -16,7 +16,7 @@ MIN_WORDS = 50
 #: Words of an anchor.  Every passage of MIN_WORDS words holds one.
 ANCHOR_WORDS = 25
 #: Words of a shard.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 #: Anchors for each range of the merge across shards.
 RANGE_ANCHORS = 50_000
 
