@@ -89,11 +89,16 @@ def quote(text: Column) -> Column:
     return F.regexp_replace(text, r"([^A-Za-z0-9_])", r"\\$1")
 
 
-def mentions(text: Column, ticker: Column, keywords: Column) -> Column:
-    """Whether the ticker stands in the text as a word, or any keyword as a part."""
-    low = F.lower(text)
-    word = F.regexp_like(low, F.concat(F.lit(r"\b"), quote(F.lower(ticker)), F.lit(r"\b")))
-    return word | F.exists(keywords, lambda k: F.contains(low, k))
+def mentions(text: Column, ticker: Column, keywords: Column, lowered: bool = False) -> Column:
+    """Whether the ticker stands in the text as a word, or any keyword as a part.
+
+    The cheap tests come first: the pattern is only tried where the ticker is
+    in the text at all.  ``lowered`` says that the text is in lower case.
+    """
+    low = text if lowered else F.lower(text)
+    name = F.lower(ticker)
+    word = F.contains(low, name) & F.regexp_like(low, F.concat(F.lit(r"\b"), quote(name), F.lit(r"\b")))
+    return F.exists(keywords, lambda k: F.contains(low, k)) | word
 
 
 def issuer_tokens(name: Column) -> Column:

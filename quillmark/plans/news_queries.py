@@ -98,8 +98,8 @@ def mention_gate(spark: SparkSession, d: str) -> DataFrame:
     """Documents that name a product by either of its words."""
     names = table(spark, d, "part").where("p_partkey < 40").select(F.col("p_name").alias("name")).distinct()
     known = names.select("name", X.name_keywords(F.col("name")).alias("_keys"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(known), X.mentions(F.col("text"), F.col("name"), F.col("_keys"))).select("doc_id", "name")
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("_low"))
+    return docs.join(F.broadcast(known), X.mentions(F.col("_low"), F.col("name"), F.col("_keys"), lowered=True)).select("doc_id", "name")
 
 
 @query("""
