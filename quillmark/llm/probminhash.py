@@ -19,6 +19,8 @@ BANDS, ROWS = 50, 3
 #: words.  Scattered edits break many shingles but few words; a long passage in
 #: texts that differ otherwise keeps its shingles but not most words.
 THRESHOLD, WORD_THRESHOLD = 0.3, 0.65
+#: Bins of the word profiles that rule out pairs before their texts are fetched.
+BINS = 256
 
 
 def shingles(texts: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,6 +148,52 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, threshold: float, word_
     return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y"), step, "a long, b long")
 
 
+def _profiles(docs: DataFrame) -> DataFrame:
+    """For each document the share of its words in each of ``BINS`` bins, as
+    16-bit fractions rounded up."""
+
+    def step(batch: pa.RecordBatch):
+        texts = texts_of(batch.column(1))
+        for b, e in steps(texts):
+            words, _, _, first = words_of(texts[b:e])
+            n = np.diff(first)
+            cell = np.repeat(np.arange(e - b), n) * BINS + (words % U64(BINS)).astype(np.int64)
+            share = np.bincount(cell, minlength=(e - b) * BINS).reshape(-1, BINS) / np.maximum(n, 1)[:, None]
+            rows = np.ceil(share * 65535).astype("<u2")
+            yield pa.record_batch([batch.column(0).slice(b, e - b), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "profile"])
+
+    return arrow_map(docs, step, "doc_id long, profile binary")
+
+
+def _possible(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """``pairs`` without those whose words can't reach ``threshold``.
+
+    A term of the probability Jaccard is at most the lesser of the element's
+    shares in the two sets, so the sum over bins of the lesser share is an upper
+    bound: no pair is lost.
+    """
+    profiles = _profiles(docs)
+    left = profiles.select(F.col("doc_id").alias("a"), F.col("profile").alias("_x"))
+    right = profiles.select(F.col("doc_id").alias("b"), F.col("profile").alias("_y"))
+
+    def step(batch: pa.RecordBatch):
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BINS) for c in (2, 3))
+        keep = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= threshold * 65535 - 1
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y"), step, "a long, b long").distinct()
+
+
+def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs (``a, b``) of members of a bucket that ``roots`` doesn't have
+    in one group."""
+    bucket = Window.partitionBy("key")
+    placed = members.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    mixed = cut(placed.withColumn("_one", F.min("root").over(bucket)).withColumn("_last", F.max("root").over(bucket)).where("_one < _last").select("key", "doc_id", "root"))
+    x, y = (mixed.select("key", F.col("doc_id").alias(v), F.col("root").alias(f"_{v}")) for v in "ab")
+    return x.join(y, "key").where("a < b AND _a <> _b").select("a", "b").distinct()
+
+
 def groups(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, word_threshold: float = WORD_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """``doc_id, group_id`` of the documents that have words, one row for each
     row; and the verified pairs (``a, b``) of distinct texts."""
@@ -155,17 +203,27 @@ def groups(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS, th
     same = sketch.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
     tagged = cut(sketch.select("doc_id", "hi", "lo").join(same, ["hi", "lo"]).select("doc_id", "rep"))
     reps = sketch.join(tagged.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    # In each bucket all are held against the first two: should the first be
-    # like none of the others, they still meet at the second.
-    bucket = Window.partitionBy("key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pairs = cut(
+    bucket = Window.partitionBy("key")
+    members = cut(
         reps.select("doc_id", F.explode("bands").alias("key"))
-        .select(F.col("doc_id").alias("b"), F.first("doc_id").over(bucket).alias("one"), F.nth_value("doc_id", 2).over(bucket).alias("two"))
-        .where("b > one").select("b", F.explode(F.array("one", "two")).alias("a")).where("a < b").distinct()
+        .withColumn("_one", F.min("doc_id").over(bucket)).withColumn("_last", F.max("doc_id").over(bucket))
+        .where("_one < _last").select("key", "doc_id").distinct()
+    )
+    # In each bucket all are held against the first two.  Most then are known to
+    # be of one group; all other pairs of the bucket are looked at after that.
+    ranked = bucket.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pairs = cut(
+        members.select(F.col("doc_id").alias("b"), F.array(F.first("doc_id").over(ranked), F.nth_value("doc_id", 2).over(ranked)).alias("hubs"))
+        .select("b", F.explode("hubs").alias("a")).where("a < b").distinct()
     )
     edges = cut(_verified(base, pairs, k, threshold, word_threshold).distinct())
     # A row of a repeated doc_id may be a copy of two texts: those meet too.
     roots = components(edges.unionByName(tagged.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")))
+    rest = cut(_possible(base, _across(members, roots).join(pairs, ["a", "b"], "left_anti"), word_threshold if k > 1 else threshold))
+    more = cut(_verified(base, rest, k, threshold, word_threshold).distinct())
+    if more.head(1):
+        edges = edges.unionByName(more)
+        roots = components(more.unionByName(roots.select(F.col("root").alias("a"), F.col("id").alias("b"))))
     out = tagged.select("doc_id").join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"))
     return out, edges
 
@@ -174,10 +232,10 @@ def near_duplicates(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int =
     """Groups of near duplicates over all documents.
 
     Word shingles weighted by their counts get ProbMinHash signatures; texts
-    that share a band meet at the first document of the bucket and are verified
-    on the exact probability Jaccard of their whole texts, over shingles and over
-    words.  Groups are the connected
-    components.
+    that share a band are verified on the exact probability Jaccard of their
+    whole texts, over shingles and over words: first against the two first
+    documents of the bucket, then every pair of the bucket that this hasn't
+    joined already.  Groups are the connected components.
 
     Result, one row for each row of ``docs``: ``doc_id, group_id`` (least
     ``doc_id`` of the group), ``keep`` (whether it is that one).  Texts with the

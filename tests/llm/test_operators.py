@@ -167,6 +167,36 @@ def test_groups_against_brute_force(spark, writer, docs_of):
     assert kept == {i for i in got if got[i] == i}
 
 
+def test_all_pairs_of_a_bucket_meet(spark, writer, docs_of):
+    """Near copies that share a bucket only behind others that aren't like them."""
+    phrase = " kado mele toru" * 60
+    key = lambda t: probminhash.band_keys(probminhash.signatures(*probminhash.shingles([t])[:3], 1, 1), 1, 1)[0, 0]
+    made = lambda t: [t + phrase, *(writer.edited(t, p) + phrase for p in (0.1, 0.1))]
+    one = key(phrase.strip())
+    families = [f for f in (made(writer.text(120)) for _ in range(40)) if {key(t) for t in f} == {one}][:4]
+    a, b, c, d = families
+    chain = c[0].split(" ")
+    links = [" ".join(chain[:j] + writer.words(40) + chain[j + 40 :]) for j in (0, 70)]
+    texts = [a[0], b[0], c[0], d[0], *(t for t in links if key(t) == one), *c[1:], *d[1:], b[1]]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if probminhash.alike([texts[i]], [texts[j]], 3, 0.3, 0.65)[0]]
+    want = list(range(len(texts)))
+    for _ in texts:
+        for i, j in pairs:
+            want[i] = want[j] = min(want[i], want[j])
+    got = {r.doc_id: r.group_id for r in probminhash.near_duplicates(docs_of(texts), bands=1, rows=1).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert want[2] == 2 and want[3] == 3 and want[-2] == 3
+
+
+def test_profiles_lose_no_pair(spark, writer, docs_of):
+    base = [writer.text(n) for n in (1, 5, 60, 150)]
+    texts = base + [writer.edited(t, p) for t in base for p in (0.0, 0.1, 0.4)] + [writer.text(90)]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j)]
+    for threshold in (0.3, 0.65, 1.0):
+        got = {tuple(r) for r in probminhash._possible(docs_of(texts), spark.createDataFrame(pairs, "a long, b long"), threshold).collect()}
+        assert {(i, j) for i, j in pairs if probminhash.similarities([texts[i]], [texts[j]], 1)[0] >= threshold} <= got
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (105, 101), (7, 7)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
