@@ -101,6 +101,12 @@ def unit_dedup(docs: DataFrame, min_line: int = MIN_LINE_WORDS, min_sentence: in
     grouped over the whole table; the occurrence of least (doc_id, offset)
     stays and all others go.
 
+    Lines of fewer than ``min_line`` words and sentences of fewer than
+    ``min_sentence`` aren't compared and stay however often they repeat.  Words
+    are split on white space, so that holds for whole lines in scripts without
+    spaces.  The defaults are those of ``ORACLE``; 1 and 1 compare every unit
+    that isn't blank.
+
     Result, one row for each row of ``docs``: ``doc_id, text`` (without the
     removed units), ``n_units, n_removed`` (spans removed, neighbours merged),
     ``removed_chars, removed_spans`` (``start-end`` offsets into the original
