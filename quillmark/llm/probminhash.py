@@ -12,9 +12,9 @@ from quillmark.llm.components import components
 
 #: Words of a shingle; its weight is how often it occurs in the document.
 K = 3
-#: Bands of so many registers.  At probability Jaccard 0.35 a pair shares a
-#: band with probability 0.89, at 0.5 with 0.999.
-BANDS, ROWS = 50, 3
+#: Bands of so many registers.  At probability Jaccard 0.3 a pair shares a band
+#: with probability 0.90, at 0.35 with 0.976, at 0.5 with 0.99999.
+BANDS, ROWS = 85, 3
 #: Least probability Jaccard of near duplicates, over shingles and over single
 #: words.  Scattered edits break many shingles but few words; a long passage in
 #: texts that differ otherwise keeps its shingles but not most words.

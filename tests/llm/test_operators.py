@@ -188,6 +188,10 @@ def test_all_pairs_of_a_bucket_meet(spark, writer, docs_of):
     assert want[2] == 2 and want[3] == 3 and want[-2] == 3
 
 
+def test_bands_find_pairs_at_the_threshold():
+    assert 1 - (1 - probminhash.THRESHOLD**probminhash.ROWS) ** probminhash.BANDS >= 0.9
+
+
 def test_profiles_lose_no_pair(spark, writer, docs_of):
     base = [writer.text(n) for n in (1, 5, 60, 150)]
     texts = base + [writer.edited(t, p) for t in base for p in (0.0, 0.1, 0.4)] + [writer.text(90)]
