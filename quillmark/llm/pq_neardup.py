@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -182,34 +183,10 @@ def _lloyd(df: DataFrame, centres: np.ndarray, points, passes: int) -> np.ndarra
     return centres
 
 
-def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD, parts: int = PARTS, words: int = WORDS, passes: int = PASSES, block_vectors: int = BLOCK_VECTORS, task_queries: int = TASK_QUERIES) -> DataFrame:
-    """All pairs of vectors whose cosine reaches ``threshold``.
-
-    Vectors are scaled to unit length and put in as many inverted lists as the
-    square root of their number; residuals are coded by parts.  Lists and
-    codebooks are learned from all vectors by Spark passes of Lloyd's method.
-    Every vector is a query.  It probes each list that the geometry of the
-    lists doesn't rule out, is compared by table lookup with a bound that no
-    pair above the threshold fails, and reranked by exact cosine; so the search
-    loses nothing but what rounding may.
-
-    Result, one row for each pair of ids: ``vec_a < vec_b, cosine``.  Vectors
-    that are null, hold a null or NaN, are all 0, or aren't of the most common
-    dimension (the largest of several) have no cosine here and take no part,
-    and neither do rows of null ``vec_id``.  Of rows with one ``vec_id`` the
-    pairs of each count, once, with the largest cosine; they are no pair of
-    each other.  Further columns are ignored; an empty table gives an empty
-    result.
-    """
-    spark = embeddings.sparkSession
-    base = embeddings.select("vec_id", "embedding").where(
-        "vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf')) AND exists(embedding, x -> x <> 0)"
-    )
-    common = base.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if common is None:
-        return spark.createDataFrame([], "vec_a long, vec_b long, cosine double")
-    dim, n = common["d"], common["count"]
-    base = base.where(F.size("embedding") == dim)
+def _pairs_of(base: DataFrame, dim: int, n: int, threshold: float, parts: int, words: int, passes: int, block_vectors: int, task_queries: int) -> DataFrame:
+    """The pairs among the ``n`` vectors of ``base``, all of dimension ``dim``;
+    one may come more than once."""
+    spark = base.sparkSession
     k = math.ceil(math.sqrt(n))
     start = base.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(max(k, min(words, n))).select("embedding").collect()
     seeds = np.array([r.embedding for r in start], np.float64)
@@ -273,7 +250,7 @@ def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD, parts: int =
                 names=["block", "split", "vec_id", "own", "lists", "embedding"],
             )
 
-    kind = embeddings.schema["embedding"].dataType.simpleString()
+    kind = base.schema["embedding"].dataType.simpleString()
     coded = arrow_map(base, members, f"block long, split long, list long, vec_id long, codes array<short>, error double, embedding {kind}")
     probes = arrow_map(base, queries, f"block long, split long, vec_id long, own long, lists array<int>, embedding {kind}")
     left = probes.withColumn("share", F.pmod(F.xxhash64("vec_id"), F.col("split"))).drop("split")
@@ -307,8 +284,40 @@ def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD, parts: int =
         a, b, cosine = (np.concatenate(x) for x in zip(*found))
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cosine)], names=["vec_a", "vec_b", "cosine"])
 
-    pairs = left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(scan, "vec_a long, vec_b long, cosine double")
-    return pairs.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+    return left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(scan, "vec_a long, vec_b long, cosine double")
+
+
+def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD, parts: int = PARTS, words: int = WORDS, passes: int = PASSES, block_vectors: int = BLOCK_VECTORS, task_queries: int = TASK_QUERIES) -> DataFrame:
+    """All pairs of vectors whose cosine reaches ``threshold``.
+
+    Vectors are scaled to unit length and put in as many inverted lists as the
+    square root of their number; residuals are coded by parts.  Lists and
+    codebooks are learned from all vectors by Spark passes of Lloyd's method.
+    Every vector is a query; each dimension that occurs is searched by itself.  It probes each list that the geometry of the
+    lists doesn't rule out, is compared by table lookup with a bound that no
+    pair above the threshold fails, and reranked by exact cosine; so the search
+    loses nothing but what rounding may.
+
+    Result, one row for each pair of ids: ``vec_a < vec_b, cosine``.  Vectors
+    that are null, hold a null or NaN, or are all 0 have no cosine here and take
+    no part, and neither do rows of null ``vec_id``; vectors of different
+    dimensions are no pair.  Of rows with one ``vec_id`` the
+    pairs of each count, once, with the largest cosine; they are no pair of
+    each other.  Further columns are ignored; an empty table gives an empty
+    result.
+    """
+    spark = embeddings.sparkSession
+    base = embeddings.select("vec_id", "embedding").where(
+        "vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf')) AND exists(embedding, x -> x <> 0)"
+    )
+    # Vectors of different dimensions have no cosine with each other.
+    found = [
+        _pairs_of(base.where(F.size("embedding") == r["d"]), r["d"], r["count"], threshold, parts, words, passes, block_vectors, task_queries)
+        for r in base.groupBy(F.size("embedding").alias("d")).count().where("count > 1").orderBy("d").collect()
+    ]
+    if not found:
+        return spark.createDataFrame([], "vec_a long, vec_b long, cosine double")
+    return reduce(DataFrame.unionByName, found).groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
 
 
 ORACLE = """

@@ -61,6 +61,12 @@ def test_all_near_pairs_are_found(spark):
     assert all(abs(c - x[a] @ x[b]) < 1e-9 for (a, b), c in got.items())
 
 
+def test_every_dimension_is_searched(spark):
+    rows = [(i, v) for i, v in enumerate([[1.0, 2.0, 2.0], [2.0, 4.0, 4.001], [-3.0, 0.0, 1.0], [1.0, 2.0], [2.0, 4.001], [2.0, -1.0], [3.0], [0.5], [1.0] * 5])]
+    df = spark.createDataFrame([*rows, (1, [2.0, 4.0])], "vec_id long, embedding array<float>")
+    assert sorted((r.vec_a, r.vec_b) for r in pq_neardup.near_pairs(df).collect()) == [(0, 1), (1, 3), (1, 4), (3, 4), (6, 7)]
+
+
 def test_probes_are_sufficient():
     r = np.random.default_rng(1)
     x, centres = unit(r.normal(size=(200, 6))), unit(r.normal(size=(12, 6)))
