@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import base64
 import functools
+from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import arrow_map, cut, texts_of
@@ -18,17 +20,18 @@ CAPACITY = 2048
 #: Ranks of the public byte-level vocabulary; the pattern is that of its README.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces of one length that one task numbers.
-RANK_ROWS = 1_000_000
 
 
-@functools.cache
-def encoding(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+@functools.lru_cache(4)
+def encoding_of(vocabulary: bytes) -> tiktoken.Encoding:
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoding(path: str) -> tiktoken.Encoding:
+    return encoding_of(Path(path).read_bytes())
+
+
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """Multiset of lengths that holds the largest and leaves least slack.
 
@@ -100,67 +103,88 @@ def slots(fills: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id`` and the number of tokens of the whole text."""
+    """``doc_id`` and the number of tokens of the whole text.
+
+    The driver reads the vocabulary and sends it to the executors, so only the
+    driver needs to have the file; its size doesn't depend on the documents.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def step(batch: pa.RecordBatch):
-        encode = encoding(vocabulary).encode_ordinary
+        encode = encoding_of(held.value).encode_ordinary
         yield pa.record_batch([batch.column(0), pa.array([len(encode(t)) for t in texts_of(batch.column(1))], pa.int64())], names=["doc_id", "n_tokens"])
 
     return arrow_map(docs.select("doc_id", "text"), step, "doc_id long, n_tokens long")
 
 
-def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS) -> DataFrame:
-    """Pack ``doc_id, n_tokens``; see :func:`pack`."""
-    whole = (
-        lengths.where(F.col("n_tokens") >= capacity)
-        .select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_tokens") / capacity).cast("long") - 1)).alias("_k"))
-        .select("doc_id", (F.col("_k") * capacity).alias("start_token"))
-    )
-    rest = lengths.select("doc_id", "n_tokens", (F.col("n_tokens") % capacity).cast("int").alias("length")).where("length > 0")
-    hist = {r.length: r.n for r in rest.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    fills = plan(hist, capacity)
+def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Pack ``doc_id, n_tokens``; see :func:`pack`.
+
+    One range shuffle puts the rows in the order of (remaining length, doc_id,
+    tokens), whatever the number of partitions; it is written to the checkpoint
+    folder, so a row's place stays what it was.  The place within a length, and
+    with it the window, follows from the numbers of rows in the partitions
+    before.
+    """
+    size = (F.col("n_tokens") % capacity).cast("int").alias("length")
+    order = ("length", "doc_id", "n_tokens")
+    laid = cut(
+        lengths.select("doc_id", "n_tokens", size).where("n_tokens > 0").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    )
+    hist = {r.length: r.n for r in laid.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    smaller = dict(zip(sorted(hist), np.cumsum([0, *(hist[x] for x in sorted(hist))])))
+    fills = plan({x: n for x, n in hist.items() if x}, capacity)
     table = slots(fills)
-    windows = sum(t for _, t in fills)
-    # Ranks within a length, numbered by buckets so that no task has to order
-    # all pieces of a common length.
-    buckets = max(1, -(-max(hist.values(), default=0) // rank_rows))
-    rest = rest.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    sizes = rest.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_b")) - F.col("_n")).drop("_n")
-    local = F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id")) - 1
-    ranked = rest.withColumn("_local", local).join(before, ["length", "_b"]).select("doc_id", "n_tokens", "length", (F.col("_before") + F.col("_local")).alias("_rank"))
-
-    def place(batch: pa.RecordBatch):
-        size, rank = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        window, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-        order = np.argsort(size, kind="stable")
-        cuts = np.flatnonzero(np.diff(size[order], prepend=-1))
-        for a, b in zip(cuts, np.append(cuts[1:], len(order))):
-            rows = order[a:b]
-            x = int(size[rows[0]])
-            first, each, base, at = table[x]
-            f = np.searchsorted(first, rank[rows], "right") - 1
-            k = rank[rows] - first[f]
-            window[rows] = base[f] + k // each[f]
-            offset[rows] = at[f] + k % each[f] * x
-        tokens = batch.column(1).to_numpy()
-        yield pa.record_batch(
-            [pa.array(window), pa.array(offset), batch.column(0), pa.array(tokens - size), pa.array(size.astype(np.int64))],
-            names=["window_id", "offset", "doc_id", "start_token", "length"],
-        )
-
-    schema = "window_id long, offset long, doc_id long, start_token long, length long"
-    packed = arrow_map(ranked, place, schema)
-    # Whole windows come after, numbered by buckets in the same way.
-    spread = max(1, lengths.rdd.getNumPartitions())
-    keyed = whole.withColumn("_b", F.pmod(F.xxhash64("doc_id", "start_token"), F.lit(spread)).cast("int"))
-    starts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).drop("_n")
-    full = keyed.withColumn("_local", F.row_number().over(Window.partitionBy("_b").orderBy("doc_id", "start_token")) - 1).join(F.broadcast(starts), "_b")
-    full = full.select(
-        (F.lit(windows) + F.col("_before") + F.col("_local")).cast("long").alias("window_id"), F.lit(0).cast("long").alias("offset"),
-        "doc_id", "start_token", F.lit(capacity).cast("long").alias("length"),
-    )
-    return packed.unionByName(full)
+    parts = laid.groupBy(F.shiftright("_row", 33).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("n_tokens") / capacity)).alias("w")).orderBy("p").collect()
+    rows_before = dict(zip([r.p for r in parts], np.cumsum([0, *(r.n for r in parts)])))
+    windows = sum(t for _, t in fills)  # those of whole documents come after
+    full_before = dict(zip([r.p for r in parts], windows + np.cumsum([0, *(r.w for r in parts)])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun: dict[int, int] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, tokens, length, row = batch.column(0), *(batch.column(i).to_numpy() for i in (1, 2, 3))
+            p = int(row[0]) >> 33
+            rank = rows_before[p] + (row & ((1 << 33) - 1))
+            window, offset = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+            cuts = np.flatnonzero(np.diff(length, prepend=-1))
+            for a, b in zip(cuts, np.append(cuts[1:], len(row))):
+                if x := int(length[a]):
+                    first, each, base, at = table[x]
+                    k = rank[a:b] - smaller[x]
+                    f = np.searchsorted(first, k, "right") - 1
+                    k = k - first[f]
+                    window[a:b] = base[f] + k // each[f]
+                    offset[a:b] = at[f] + k % each[f] * x
+            some = np.flatnonzero(length)
+            yield _pieces(window[some], offset[some], ids.take(pa.array(some)), (tokens - length)[some], length[some])
+            whole = tokens // capacity
+            for a, b in _ranges(whole):
+                at = np.repeat(np.arange(a, b), whole[a:b])
+                start = begun.get(p, full_before[p])
+                k = np.arange(len(at)) - np.repeat(np.cumsum(whole[a:b]) - whole[a:b], whole[a:b])
+                yield _pieces(start + np.arange(len(at)), np.zeros(len(at), np.int64), ids.take(pa.array(at)), k * capacity, np.full(len(at), capacity))
+                begun[p] = start + len(at)
+
+    return laid.mapInArrow(run, "window_id long, offset long, doc_id long, start_token long, length long")
+
+
+def _pieces(window: np.ndarray, offset: np.ndarray, ids: pa.Array, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(window), pa.array(offset), ids, pa.array(start), pa.array(length.astype(np.int64))], names=["window_id", "offset", "doc_id", "start_token", "length"])
+
+
+def _ranges(whole: np.ndarray, limit: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Runs of documents with some whole window, of about ``limit`` windows."""
+    a, held = 0, 0
+    for i, n in enumerate(whole.tolist()):
+        held += n
+        if held >= limit:
+            yield a, i + 1
+            a, held = i + 1, 0
+    if held:
+        yield a, len(whole)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -175,9 +199,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
 
     Result, one row for each piece: ``window_id, offset, doc_id, start_token,
     length``; a piece is the tokens of the document from ``start_token`` and
-    stands at ``offset`` in its window.  Null or empty text has no tokens and
-    no row.  Null ``doc_id`` stays null.  Repeated rows are packed each.  Which
-    of the documents of one length goes where follows the order of ``doc_id``.
+    stands at ``offset`` in its window.  The result is a function of the rows
+    alone: pieces of one length take their places in the order of (doc_id,
+    tokens of the document), null first, and whole windows are numbered after
+    all others in the order of (remaining length, doc_id, tokens).  Rows equal
+    in these are alike in every column of the result.  Of fills that are
+    equally full, that with more of the longer pieces is taken.
+
+    Null or empty text has no tokens and no row.  Null ``doc_id`` stays null.
+    Repeated rows are packed each.  Texts of any length are encoded whole.
     Further columns are ignored; an empty table gives an empty result.
     """
-    return pack_lengths(cut(token_counts(docs, vocabulary)), capacity)
+    return pack_lengths(token_counts(docs, vocabulary), capacity)

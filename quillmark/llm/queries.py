@@ -58,7 +58,7 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = _table(spark, folder, "documents")
-    return tox.toxicity(docs, tox.lexicon_for(docs, _table(spark, folder, "labels")))
+    return tox.toxicity(docs, tox.lexicon_for(docs, _table(spark, folder, "labels"))).withColumn("score", F.round("score", 9))
 
 
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,4 +83,5 @@ ORACLES: dict[str, str] = {
     "op1_warc_index": warc_index.ORACLE,
     "op2_embedding_pairs": pq_neardup.ORACLE,
     "op6_unit_dedup": units.ORACLE,
+    "op9_toxicity": tox.ORACLE,
 }

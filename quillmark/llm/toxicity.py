@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import unicodedata
 import zlib
+from bisect import bisect_right
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -40,13 +42,37 @@ MIN_LOG_ODDS = 3.0
 FULL_LOG_ODDS = 6.0
 
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "€": "e", "l": "i", "|": "i"}
-_LOOKALIKE = dict(
-    zip(
-        "авекмнорстухіѕјԁɡһӏոԛԝуαβεικνορτυχγηωοɑɩıցաոսց",
-        "abekmhopctyxisjdgniinqwyabeiknoptuxynwoaiigwnug",
-        strict=False,
-    )
-)
+#: Signs of other scripts by the letter that they are taken for.  Where upper and
+#: lower case look like different letters, both are listed.
+_ALIKE = {
+    "a": "\u0430\u03b1\u0251\u0391\u0410",
+    "b": "\u0432\u044c\u03b2\u0392\u0412",
+    "c": "\u0441\u03f2\u0421",
+    "d": "\u0501\u0257",
+    "e": "\u0435\u03b5\u0454\u0395\u0415",
+    "f": "\u0192\u03dd",
+    "g": "\u0261\u0581\u0260",
+    "h": "\u043d\u04bb\u0570\u0397\u041d",
+    "i": "\u0456\u03b9\u0131\u0269\u0399\u0406",
+    "j": "\u0458\u0575\u03f3\u0408",
+    "k": "\u043a\u03ba\u039a\u041a",
+    "l": "\u04cf\u04c0",
+    "m": "\u043c\u039c\u041c",
+    "n": "\u0578\u03b7\u043f\u039d",
+    "o": "\u043e\u03bf\u0585\u03c3\u039f\u041e",
+    "p": "\u0440\u03c1\u03a1\u0420",
+    "q": "\u051b\u0566",
+    "r": "\u0433\u0280",
+    "s": "\u0455\u0405",
+    "t": "\u0442\u03c4\u03a4\u0422",
+    "u": "\u03c5\u057d\u028b",
+    "v": "\u03bd\u0475",
+    "w": "\u051d\u03c9\u0561\u0461",
+    "x": "\u0445\u03c7\u03a7\u0425",
+    "y": "\u0443\u03b3\u04af\u03a5\u0423",
+    "z": "\u03b6\u0396",
+}
+_LOOKALIKE = {sign: letter for letter, signs in _ALIKE.items() for sign in signs}
 
 
 def fold_table() -> np.ndarray:
@@ -61,6 +87,8 @@ def fold_table() -> np.ndarray:
             s = chr(c)
             if c < 128:
                 t = s.lower()
+            elif s in _LOOKALIKE:
+                t = _LOOKALIKE[s]
             else:
                 kind = unicodedata.category(s)
                 if kind[0] not in "LN" and s not in _DIGITS:
@@ -125,8 +153,12 @@ def score_folded(text: str, a: ahocorasick.Automaton) -> tuple[float, int]:
     found = [(end - n + 1, end + 1, w) for end, (n, w) in a.iter(text)]
     if not found:
         return 0.0, 0
-    spared = [(b, e) for b, e, w in found if w is None]
-    hits = [w for b, e, w in found if w is not None and not any(x <= b and e <= y for x, y in spared)]
+    # A match is spared if an exception that begins at it or before ends at it
+    # or after; the furthest end so far tells that.
+    spared = sorted((b, e) for b, e, w in found if w is None)
+    begins, furthest = [b for b, _ in spared], list(accumulate((e for _, e in spared), max))
+    within = lambda b, e: (k := bisect_right(begins, b)) > 0 and furthest[k - 1] >= e
+    hits = [w for b, e, w in found if w is not None and not (spared and within(b, e))]
     return math.fsum(hits), len(hits)
 
 
@@ -134,7 +166,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, bound: int = LEARN_DOCS, m
     """Words that labelled toxic documents hold far more often than others.
 
     ``bound`` is the largest number of labelled documents used (those of least
-    id hash), so the word counts and the lexicon are bounded too.  Copies of a
+    MD5 of the id), so the word counts and the lexicon are bounded too.  Copies of a
     text count once.  A word needs ``min_docs`` toxic documents, ``min_share`` of
     all of them, and log odds of ``MIN_LOG_ODDS``.  It also has to follow on
     ``min_contexts`` different words for each of these documents: an insult
@@ -145,7 +177,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, bound: int = LEARN_DOCS, m
     picked = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+        .orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(bound)
     )
     sample = (
         docs.select("doc_id", "text").where("text IS NOT NULL")
@@ -198,8 +230,10 @@ def toxicity(docs: DataFrame, lexicon: dict[str, float] | None = None, exception
 
     Result, one row for each row of ``docs``: ``doc_id, n_words, hits, score,
     toxic``.  Null or wordless text has score 0 and isn't toxic.  A null
-    ``doc_id`` stays null.  Repeated rows are scored each; further columns of
-    ``docs`` are ignored; an empty table gives an empty result.
+    ``doc_id`` stays null.  A score equal to the threshold is toxic.  Texts of
+    any length are scored whole, in time that grows with their length.  Repeated
+    rows are scored each; further columns of ``docs`` are ignored; an empty table
+    gives an empty result.
     """
     words = dict(SEED_LEXICON if lexicon is None else lexicon)
     built: list = []
@@ -260,3 +294,45 @@ def keep_clean(docs: DataFrame, lexicon: dict[str, float], exceptions: tuple[str
         yield batch.filter(pa.array(keep))
 
     return arrow_map(docs, step, docs.schema)
+
+
+def _sql_fold(text: str) -> str:
+    """SQL of the folded text, for Latin letters with accents and the signs of
+    ``_ALIKE`` (DuckDB has no compatibility forms)."""
+    signs, letters = "".join(_LOOKALIKE), "".join(_LOOKALIKE.values())
+    t = f"translate(strip_accents(lower(translate({text}, '{signs}', '{letters}'))), '{signs}', '{letters}')"
+    t = f"translate(regexp_replace({t}, '[\\p{{M}}\\p{{Cf}}]', '', 'g'), '{''.join(_DIGITS)}', '{''.join(_DIGITS.values())}')"
+    for _ in range(2):  # twice, as matches don't overlap
+        t = f"regexp_replace({t}, '([\\p{{L}}\\p{{N}}])!([\\p{{L}}\\p{{N}}])', '\\1i\\2', 'g')"
+    return f"regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+
+
+#: The lexicon as it is learned, and every score with it.  All lexicon words are
+#: single words, all exceptions two.
+ORACLE = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(trim({_sql_fold("coalesce(text, '')")}), ' ') AS ws FROM documents),
+each AS (SELECT r, doc_id, text, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+seq AS (SELECT *, lag(w) OVER o AS before, lead(w) OVER o AS after FROM each WHERE w <> '' WINDOW o AS (PARTITION BY r ORDER BY i)),
+picked AS (
+  SELECT doc_id, max(toxic) AS y FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY 1 ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {LEARN_DOCS}),
+sample AS (SELECT text, max(y) > 0 AS y, min(r) AS r FROM w JOIN picked USING (doc_id) WHERE text IS NOT NULL GROUP BY 1),
+total AS (SELECT count(*) FILTER (NOT y) AS n, count(*) FILTER (y) AS t FROM sample),
+word AS (
+  SELECT w, count(DISTINCT s.r) FILTER (NOT y) AS n, count(DISTINCT s.r) FILTER (y) AS t, count(DISTINCT coalesce(before, '')) FILTER (y) AS c
+  FROM sample s JOIN seq USING (r) GROUP BY 1),
+odds AS (
+  SELECT w, ln((word.t + 0.5) / (total.t + 1)) - ln((word.n + 0.5) / (total.n + 1)) AS o FROM word, total
+  WHERE word.t >= {MIN_DOCS} AND word.n <= word.t AND word.c >= {MIN_CONTEXTS} * word.t AND length(w) > 2 AND word.t >= {MIN_SHARE} * total.t),
+lexicon AS (
+  SELECT w, max(x) AS x FROM (
+    SELECT w, least(1.0, o / {FULL_LOG_ODDS}) AS x FROM odds WHERE o >= {MIN_LOG_ODDS}
+    UNION ALL VALUES {", ".join(f"('{fold_word(w)}', {x})" for w, x in SEED_LEXICON.items())}) GROUP BY 1),
+spare(p) AS (VALUES {", ".join(f"('{fold_word(e)}')" for e in EXCEPTIONS)}),
+hit AS (
+  SELECT r, count(*) AS hits, fsum(x) AS s FROM seq JOIN lexicon USING (w)
+  WHERE coalesce(before || ' ' || w NOT IN (SELECT p FROM spare), true) AND coalesce(w || ' ' || after NOT IN (SELECT p FROM spare), true) GROUP BY 1),
+size AS (SELECT r, count(*) AS n FROM seq GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(hits, 0) AS hits, round(coalesce(s, 0) / greatest(coalesce(n, 0), 1), 9) AS score,
+  coalesce(s, 0) / greatest(coalesce(n, 0), 1) >= {THRESHOLD} AS toxic
+FROM w LEFT JOIN hit USING (r) LEFT JOIN size USING (r)
+"""

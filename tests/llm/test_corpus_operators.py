@@ -4,18 +4,29 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillmark.llm import decontam, license_scan, packing, pq_neardup, probminhash, quality_rank, suffix_dedup, toxicity, unit_dedup, warc_index
+from quillmark.llm import decontam, license_scan, packing, pq_neardup, probminhash, quality_rank, queries, suffix_dedup, toxicity, unit_dedup, warc_index
 from quillmark.llm.components import components
 
 WORD = re.compile(r"[^\W_]+")
 
+
+@contextmanager
+def conf(spark, key, value):
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    yield
+    spark.conf.set(key, before)
+
+
 # 1: capture index
 
 
@@ -297,9 +308,12 @@ def test_each_window_is_as_full_as_can_be(counts):
 
 def test_every_token_is_packed_once(spark, writer):
     sizes = [writer.r.randint(0, 90) for _ in range(400)]
-    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens long").repartition(4)
-    for rank_rows in (10**6, 3):
-        rows = packing.pack_lengths(df, 32, rank_rows).collect()
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens long")
+    results = set()
+    for parts, shuffled in ((1, "1"), (8, "4"), (3, "7")):
+        with conf(spark, "spark.sql.shuffle.partitions", shuffled), conf(spark, "spark.sql.adaptive.enabled", str(parts == 1)):
+            rows = packing.pack_lengths(df.repartition(parts), 32).collect()
+        results.add(tuple(sorted(map(tuple, rows))))
         held, used = {}, {}
         for r in rows:
             held.setdefault(r.doc_id, []).append((r.start_token, r.length))
@@ -312,6 +326,53 @@ def test_every_token_is_packed_once(spark, writer):
                 at += n
         assert all(sum(n for _, n in p) <= 32 for p in used.values()) and sorted(used) == list(range(len(used)))
         assert len(used) <= math.ceil(sum(sizes) / 32) * 1.05 + 1
+    assert len(results) == 1  # nothing hangs on partitions
+
+
+def packed_by_hand(counts: list[tuple], capacity: int) -> set[tuple]:
+    """Windows one by one: the largest piece, then by exhaustive search the
+    fullest set of the others, pieces of one length in order of doc_id."""
+    pieces: dict[int, list] = {}
+    for d, n in sorted(counts):
+        if n % capacity:
+            pieces.setdefault(n % capacity, []).append((d, n - n % capacity))
+    out, window = set(), 0
+    have = {x: len(p) for x, p in pieces.items()}
+    for fill, times in packing.plan(have, capacity):
+        for _ in range(times):
+            top = max(x for x, n in have.items() if n)
+            rest = [x for x, n in have.items() for _ in range(n - (x == top)) if x]
+            reach = {0}
+            for x in rest:
+                reach |= {r + x for r in reach if r + x <= capacity - top}
+            assert top in fill and sum(x * k for x, k in fill.items()) == top + max(reach)
+            at = 0
+            for x in sorted(fill, reverse=True):
+                for _ in range(fill[x]):
+                    d, start = pieces[x].pop(0)
+                    out.add((window, at, d, start, x))
+                    at += x
+                have[x] -= fill[x]
+            window += 1
+    for _, d, n in sorted((n % capacity, d, n) for d, n in counts):
+        for k in range(n // capacity):
+            out.add((window, 0, d, k * capacity, capacity))
+            window += 1
+    return out
+
+
+def test_packing_against_brute_force(spark, writer):
+    counts = [(i, writer.r.choice([0, 3, 5, 8, 13, 21, 40, 64, 100])) for i in range(60)]
+    df = spark.createDataFrame(counts, "doc_id long, n_tokens long").repartition(4)
+    assert {tuple(r) for r in packing.pack_lengths(df, 32).collect()} == packed_by_hand(counts, 32)
+
+
+def test_packing_query_against_brute_force(spark, writer, tmp_path):
+    texts = [writer.text(writer.r.choice([3, 40, 200, 900, 3000])) for _ in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    e = packing.encoding(packing.VOCABULARY)
+    want = packed_by_hand([(i, len(e.encode_ordinary(t))) for i, t in enumerate(texts)], packing.CAPACITY)
+    assert {tuple(r) for r in queries.op7_packing(spark, str(tmp_path)).collect()} == want
 
 
 def test_tokens_are_those_of_the_vocabulary(spark, docs_of):
@@ -377,27 +438,53 @@ def test_shared_grams_below_the_bound_are_no_match(writer):
 # 9: toxicity
 
 
+ALIKE = "aаαɑ4@ bвβ8 cс dԁ eеε3€ gɡ9 hнһ iіιıl1| jј kкκ mм nηո oоοօ0 pрρ qԛ sѕ5$ tтτ7 uυս wωԝ xхχ yуγ zζ".split()
+
+
+def plain_words(text: str) -> list[str]:
+    """A fold of its own, sign by sign from a list of look-alikes."""
+    to = {sign: group[0] for group in ALIKE for sign in group}
+    signs = [c for c in unicodedata.normalize("NFKD", text).lower() if unicodedata.category(c)[0] != "M" and unicodedata.category(c) != "Cf"]
+    out = ""
+    for i, c in enumerate(signs):
+        inside = c == "!" and 0 < i < len(signs) - 1 and (signs[i - 1].isalnum() and signs[i + 1].isalnum())
+        out += "i" if inside else to.get(c, c if c.isalnum() else " ")
+    return out.split()
+
+
 def score_by_hand(text: str, lexicon: dict, exceptions: tuple) -> float:
-    t = toxicity._single(toxicity.fold([text])[0][0])
-    fold = lambda p: " ".join(toxicity.fold_word(p).split())
-    spans = [(m.start(), m.start() + len(e) + 2) for e in map(fold, exceptions) for m in re.finditer(f"(?= {re.escape(e)} )", t)]
-    total = 0.0
-    for w, x in lexicon.items():
-        for m in re.finditer(f"(?= {re.escape(fold(w))} )", t):
-            a, b = m.start(), m.start() + len(fold(w)) + 2
-            total += 0 if any(p <= a and b <= q for p, q in spans) else x
-    return total / max(len(t.split()), 1)
+    words = plain_words(text)
+    phrases = [plain_words(e) for e in exceptions]
+    spared = {i + k for p in phrases for i in range(len(words)) if words[i : i + len(p)] == p for k in range(len(p))}
+    weights = {plain_words(w)[0]: x for w, x in lexicon.items()}
+    return sum(weights.get(w, 0.0) for i, w in enumerate(words) if i not in spared) / max(len(words), 1)
 
 
 def test_scores_against_brute_force(spark, writer, docs_of):
-    lexicon = {"idiot": 0.8, "scum": 0.9, "trash": 0.4, "löser": 0.5}
-    say = ["1D10T", "idiot,", "ѕсum", "TRASH can", "trash", "lóser", "id!ot!", "sc​um", "idiotic", "trash-can", "straße"]
+    lexicon = {"idiot": 0.8, "scum": 0.9, "trash": 0.4, "löser": 0.5, "moron": 0.7, "stupid": 0.3, "filth": 0.2, "ugly": 0.1}
+    say = ["1D10T", "idiot,", "ѕсum", "TRASH can", "trash", "lóser", "id!ot!", "sc​um", "idiotic", "trash-can", "straße", "mοrοn", "stυpid", "filtһ", "uglу"]
     texts = [" ".join(writer.r.choice(say + writer.words(6)) for _ in range(40)) for _ in range(60)]
     got = {r.doc_id: r for r in toxicity.toxicity(docs_of(texts), lexicon, ("trash can",), 0.05).collect()}
     for i, t in enumerate(texts):
         assert got[i].score == pytest.approx(score_by_hand(t, lexicon, ("trash can",))) and got[i].toxic == (got[i].score >= 0.05)
 
 
+def test_every_lookalike_of_every_seed_word():
+    for sign, letter in toxicity._LOOKALIKE.items():
+        assert len(sign) == 1 and toxicity.fold_word(sign) == toxicity.fold_word(letter), (sign, letter)
+    for word in toxicity.SEED_LEXICON:
+        for i, c in enumerate(word):
+            for sign in toxicity._ALIKE.get(c, ""):
+                assert toxicity.fold_word(word[:i] + sign + word[i + 1 :]) == toxicity.fold_word(word), (word, sign)
+    assert [toxicity.fold_word(w) for w in ("mοrοn", "idiοt", "stυpid", "uglу", "filtһ", "ΜΟRΟΝ")] == ["moron", "idiot", "stupid", "ugiy", "fiith", "moron"]
+
+
+def test_exceptions_in_long_texts():
+    a = toxicity.automaton({"trash": 0.5, "can": 0.1}, ("trash can", "can opener"))
+    n = 40_000
+    assert toxicity.score_folded(" trash can" * n + " ", a)[1] == 0 and toxicity.score_folded(" trash can opener trash" * n + " ", a)[1] == n
+
+
 @pytest.mark.parametrize(("text", "hits"), [("You 1d10t!", 1), ("mоrоn", 1), ("S7upid $cum", 2), ("take out the trash can", 0), ("trash", 1), ("idiotic", 0), ("an i-d-i-o-t", 0)])
 def test_folding(text, hits):
     a = toxicity.automaton(toxicity.SEED_LEXICON, toxicity.EXCEPTIONS)

@@ -35,7 +35,7 @@ def corpus(spark):
 @pytest.fixture(scope="module")
 def labels(spark):
     rows = [(0, 1, 0), (2, 1, 0), (3, 1, None), (5, 0, 0), (8, None, 1), (None, 1, 1), (8, 0, 1), (99, 1, 1)]
-    return clashing(spark.createDataFrame(rows, "doc_id long, quality int, toxic int").drop("n"))
+    return clashing(spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
 
 
 @pytest.fixture(scope="module")
@@ -125,7 +125,7 @@ def test_embeddings(spark):
 
 def test_captures(spark):
     rows = [(1, "http://A.com/x", "h"), (1, "http://a.com/x", "h"), (2, "https://www.a.com/x#f", None), (3, None, "h"), (None, "http://a.com/x", "h"), (4, "", ""), (5, "http://a.com/" + "y" * 100_000, None), (6, "http://a.com/x", None), (7, "http://a.com/x", None)]
-    df = clashing(spark.createDataFrame(rows, "page_id long, url string, html string").drop("length"))
+    df = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"))
     got = warc_index.capture_index(df).orderBy("pos").collect()
     assert [r.pos for r in got] == list(range(1, 8)) and [r.page_id for r in got if r.urlkey == "com,a)/x"] == [1, 1, 2, 6, 7] and [r.revisit for r in got if r.urlkey == "com,a)/x"] == [False, True, False, True, True]
     assert warc_index.capture_index(df, range_rows=2, run_rows=2).orderBy("pos").collect() == got

@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, tmp_path, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     QUERIES[name](spark, FOLDER).write.parquet(str(tmp_path / "out"))
     c.sql(f"CREATE TABLE want AS {ORACLES[name]}")
