@@ -48,7 +48,18 @@ def suppress_ttl(spark: SparkSession, d: str) -> DataFrame:
     return jobs.replay(e, P.unsuppressed, "now")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (
+  SELECT event_type AS queue, epoch(date_trunc('second', ts))::BIGINT AS now, list(event_id::VARCHAR ORDER BY event_id::VARCHAR) AS ids,
+    row_number() OVER (PARTITION BY event_type ORDER BY epoch(date_trunc('second', ts))::BIGINT) AS n FROM events GROUP BY 1, 2),
+r AS (
+  SELECT queue, n, now, ids AS given, CAST([] AS VARCHAR[]) AS held, now AS last FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.queue, e.n, e.now, CASE WHEN due THEN all_ids ELSE CAST([] AS VARCHAR[]) END, CASE WHEN due THEN CAST([] AS VARCHAR[]) ELSE all_ids END, CASE WHEN due THEN e.now ELSE last END
+  FROM (SELECT r.last, e.*, list_concat(r.held, e.ids) AS all_ids, len(r.held) + len(e.ids) >= 12 OR e.now - r.last >= 900 AS due
+    FROM r JOIN e ON e.queue = r.queue AND e.n = r.n + 1) e)
+SELECT queue, unnest(given)::VARCHAR AS uid, now AS fired FROM r
+""")
 def count_or_time_trigger(spark: SparkSession, d: str) -> DataFrame:
     """Items handed on when twelve wait or fifteen minutes are over."""
     e = _events(spark, d).select(F.col("event_type").alias("queue"), F.col("event_id").cast("string").alias("uid"), "now")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import news
 from quillmark.operators.sinks import Notifier, push_sink
+from quillmark.session import move, remove, shared_folder
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -34,23 +36,26 @@ def replay(df: DataFrame, apply: Callable[[DataFrame], DataFrame], by: str, part
     """A table put through a streaming operator in micro-batches that follow
     the order of ``by``, and what came out.
 
-    ``work`` is where files, checkpoint and result go: by default the session's
-    shared checkpoint folder, or a temporary one of a local session.
+    One job writes all parts; rows that are equal in ``by`` are in one part, and
+    rows without it in the first.  ``work`` is where files, checkpoint and
+    result go: by default the session's shared checkpoint folder, or a temporary
+    one of a local session.  Only the result stays there.
     """
     spark = df.sparkSession
-    folder = work or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = f"{folder or tempfile.mkdtemp(prefix='quillmark-')}/replay-{uuid4().hex}"
+    root = f"{work or shared_folder(spark)}/replay-{uuid4().hex}"
     cuts = [r for r in df.approxQuantile(by, [i / parts for i in range(1, parts)], 0.001)] if parts > 1 else []
     edges = [None, *sorted(set(cuts)), None]
-    for i, (low, high) in enumerate(zip(edges, edges[1:])):
-        part = df if low is None else df.where(F.col(by) > low)
-        (part if high is None else part.where(F.col(by) <= high)).coalesce(1).write.parquet(f"{root}/in/{i}")
-        # the source takes files by time, so parts come in order
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
-    result = apply(source)
-    run_available(result, lambda b, i: b.write.mode("overwrite").parquet(f"{root}/out/{i:06d}"), f"{root}/checkpoint")
+    batch = reduce(add, (F.coalesce(F.col(by) > e, F.lit(False)).cast("int") for e in edges[1:-1]), F.lit(0))
+    df.withColumn("_batch", batch).write.partitionBy("_batch").parquet(f"{root}/parts")
+    source = spark.readStream.schema(df.schema)
+    # A part is moved in whole, then worked off as one batch; the checkpoint
+    # carries the state on to the next.
+    for i in range(len(edges) - 1):
+        move(spark, f"{root}/parts/_batch={i}", f"{root}/in/{i}")
+        result = apply(source.parquet(f"{root}/in/*"))
+        run_available(result, lambda b, n: b.write.mode("overwrite").parquet(f"{root}/out/{n:06d}"), f"{root}/checkpoint")
+    for done in ("parts", "in", "checkpoint"):
+        remove(spark, f"{root}/{done}")
     return spark.read.schema(result.schema).parquet(f"{root}/out/*")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from quillmark.streaming import jobs
@@ -39,6 +41,41 @@ def test_suppression(spark, tmp_path):
     assert got(out, "uid") == [("a",), ("c",), ("d",)]
 
 
+def test_suppression_forgets(spark, tmp_path):
+    """The state holds what the last days need, however long the stream."""
+    schema = "event_key string, uid string, now long"
+    for day in range(0, 60, 3):
+        rows = [(f"k{day + i % 3}", f"u{day}-{i}", (day + i % 3) * DAY) for i in range(30)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = P.unsuppressed(jobs.stream(spark, f"{tmp_path}/in", schema, 1000), buckets=4)
+        jobs.run_available(out, lambda b, n: b.write.mode("append").parquet(f"{tmp_path}/out"), f"{tmp_path}/checkpoint")
+    state = spark.read.format("statestore").load(f"{tmp_path}/checkpoint")
+    held = [k for r in state.selectExpr("value.groupState.events AS e").collect() for k in r.e]
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 60 and 0 < len(held) <= 20 and "k0" not in held and "k59" in held
+
+
+def test_seeding_is_silent(spark, tmp_path):
+    rows = [(1, "a", "2026-01-05", 0, True, 100), (1, "b", "2026-01-07", 1, True, 100), (1, "c", "2026-01-06", 0, False, 200), (1, "d", "2026-01-07", 0, False, 200), (2, "x", None, 0, False, 200), (2, "y", None, 0, False, 300)]
+    out = jobs.replay(spark.createDataFrame(rows, POLL), P.new_filings, "now", parts=2, work=str(tmp_path))
+    assert got(out, "cik", "accession") == [(1, "d"), (2, "x"), (2, "y")]
+
+
+def test_queue_fires_by_the_clock(spark, tmp_path):
+    """What waits is given out though no further row comes."""
+    now = int(time.time())
+    spark.createDataFrame([("q", "a", now - 1), ("q", "b", now)], "queue string, uid string, now long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    items = P.due_items(jobs.stream(spark, f"{tmp_path}/in", "queue string, uid string, now long"), size=5, seconds=3, timer=True)
+    query = items.writeStream.format("memory").queryName("given").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 60
+        while spark.table("given").count() < 2 and time.time() < until:
+            time.sleep(0.5)
+        fired = {r.uid: r.fired for r in spark.table("given").collect()}
+    finally:
+        query.stop()
+    assert fired["a"] == now - 1 and fired["b"] >= now - 1 + 3
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_stream_equals_batch(spark, tmp_path, parts):
     df = spark.createDataFrame([(f"k{i % 3}", f"u{i:02d}", i * DAY) for i in range(30)], "event_key string, uid string, now long")
