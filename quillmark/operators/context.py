@@ -59,7 +59,7 @@ def context(ticker: str, companies: DataFrame, pushes: DataFrame, flow: DataFram
     is brought to the driver."""
     t = ticker.upper()
     company = companies.where(F.upper("ticker") == t).limit(1).collect()
-    alerts = pushes.where(F.array_contains("tickers", t)).orderBy(F.desc("date")).limit(top).collect()
+    alerts = pushes.where(F.array_contains("tickers", t)).orderBy(F.desc("date"), "kind", F.desc("score"), "detail").limit(top).collect()
     money = flow.where(F.upper("ticker") == t).limit(1).collect()
     worth = None if valuation is None else valuation.where(F.upper("ticker") == t).limit(1).collect()
     return {

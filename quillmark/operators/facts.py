@@ -26,7 +26,7 @@ def with_tags(facts: DataFrame, fields: DataFrame) -> DataFrame:
     order = F.when(F.col("taxonomy") == "us-gaap", 0).when(F.col("taxonomy") == "dei", 1)
     mine = facts.withColumn("_tax", order).where(F.col("_tax").isNotNull())
     w = Window.partitionBy("cik", "tag")
-    return mine.withColumn("_first", F.min("_tax").over(w)).where("_tax = _first").drop("_tax", "_first").join(F.broadcast(candidate_tags(fields)), "tag")
+    return mine.withColumn("_first", F.min("_tax").over(w)).where("_tax = _first").drop("_tax", "_first").join(candidate_tags(fields), "tag")
 
 
 def best_unit(points: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def with_periods(points: DataFrame, companies: DataFrame) -> DataFrame:
     m, d = F.col("_m"), F.col("_d")
     period = F.when(F.col("period_type") == "duration", fiscal.duration_period(F.col("start"), F.col("end"), m, d)).otherwise(fiscal.instant_period(F.col("end"), m, d))
     return (
-        points.where(F.col("form").isin(*FORMS) & F.col("end").isNotNull()).join(F.broadcast(known), "cik")
+        points.where(F.col("form").isin(*FORMS) & F.col("end").isNotNull()).join(known, "cik")
         .withColumn("fiscal_period", period).where(F.col("fiscal_period").isNotNull()).withColumn("fiscal_year", fiscal.fiscal_year(F.col("end"), m, d)).drop("_m", "_d")
     )
 

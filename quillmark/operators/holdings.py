@@ -27,12 +27,27 @@ def numeric_positions(info: DataFrame) -> DataFrame:
     return info.withColumns({"shares": X.to_number(F.col("SSHPRNAMT")), "value": X.to_number(F.col("VALUE"))}).where("shares IS NOT NULL AND value IS NOT NULL")
 
 
-def cover_flags(cover: DataFrame) -> DataFrame:
-    """Manager and amendment flag of each filing; the last line of one counts."""
-    last = cover.withColumn("_pos", F.monotonically_increasing_id()).groupBy("ACCESSION_NUMBER").agg(
-        F.max_by(F.struct("FILINGMANAGER_NAME", "ISAMENDMENT"), "_pos").alias("_c")
-    )
-    return last.select("ACCESSION_NUMBER", F.trim("_c.FILINGMANAGER_NAME").alias("manager"), F.upper(F.trim("_c.ISAMENDMENT")).isin("Y", "TRUE", "1").alias("amended"))
+def _last_line(rows: DataFrame, key: str, columns: Sequence[str], pos: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.col(pos)).alias("_l")).select(key, "_l.*")
+
+
+def cover_flags(cover: DataFrame, pos: str | None = None) -> DataFrame:
+    """Manager and amendment flag of each filing; the last line of one counts:
+    by ``pos``, or as they are read."""
+    placed = cover if pos else cover.withColumn("_pos", F.monotonically_increasing_id())
+    last = _last_line(placed, "ACCESSION_NUMBER", ["FILINGMANAGER_NAME", "ISAMENDMENT"], pos or "_pos")
+    return last.select("ACCESSION_NUMBER", F.trim("FILINGMANAGER_NAME").alias("manager"), F.upper(F.trim("ISAMENDMENT")).isin("Y", "TRUE", "1").alias("amended"))
+
+
+def filers(submission: DataFrame, pos: str) -> DataFrame:
+    """Filer of each filing; the last line of one by ``pos`` counts."""
+    return _last_line(submission, "ACCESSION_NUMBER", ["CIK"], pos).select("ACCESSION_NUMBER", F.trim("CIK").alias("cik"))
+
+
+def first_issuer(rows: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
+    """For each security the name in its first line that has one."""
+    name = F.trim("NAMEOFISSUER")
+    return rows.where(name != "").groupBy(*keys).agg(F.min_by(name, F.col(pos)).alias("issuer"))
 
 
 def original_only(info: DataFrame, flags: DataFrame, keep_unknown: bool, key: str = "ACCESSION_NUMBER") -> DataFrame:

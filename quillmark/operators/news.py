@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as X
@@ -71,6 +71,12 @@ def unseen(items: DataFrame, seen: DataFrame, key: str = "uid") -> DataFrame:
     return items.join(seen.select(key), key, "left_anti")
 
 
+def latest(items: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` items of each key in the given order."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return items.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
+
 Provider = Callable[[list[dict]], list[dict]]
 _PROVIDERS: dict[str, Callable[[], Provider]] = {}
 

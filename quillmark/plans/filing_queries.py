@@ -108,10 +108,12 @@ SELECT b.p_brand, unit, count(*) AS points FROM b JOIN part p ON p.p_brand = b.p
 def best_unit_choice(spark: SparkSession, d: str) -> DataFrame:
     """The unit of each field: the declared one, else one with the prefix, else
     the first."""
-    rank = F.when(F.col("p_type") == "PROMO", 0).when(F.startswith("p_type", F.lit("S")), 1).otherwise(2)
-    parts = table(spark, d, "part").select("p_brand", "p_type", "p_size")
-    best = parts.groupBy("p_brand").agg(F.min(F.struct(rank, "p_size", "p_type"))["p_type"].alias("unit"))
-    return parts.join(best, "p_brand").where(F.col("p_type") == F.col("unit")).groupBy("p_brand", "unit").agg(F.count(F.lit(1)).alias("points"))
+    unit = F.when(F.startswith("p_type", F.lit("S")), F.concat(F.lit("USD/"), "p_type")).otherwise(F.col("p_type"))
+    points = table(spark, d, "part").select(
+        F.lit(0).alias("cik"), F.col("p_brand").alias("field_key"), F.lit("t").alias("tag"), F.lit("PROMO").alias("want_unit"), unit.alias("unit"), F.col("p_size").alias("unit_pos")
+    )
+    best = A.best_unit(points).groupBy(F.col("field_key").alias("p_brand"), F.replace("unit", F.lit("USD/"), F.lit("")).alias("unit"))
+    return best.agg(F.count(F.lit(1)).alias("points"))
 
 
 _YEARLY = f"SELECT c_mktsegment AS ticker, year(o_orderdate) AS fiscal_year, {_MONEY} AS value FROM orders JOIN customer ON o_custkey = c_custkey"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import text as X
 from quillmark.operators import holdings as H
 from quillmark.plans.base import query
+from quillmark.sources import filings as S
 from quillmark.sources.tables import table
 
 #: Quarters compared, and the least value of a security at this scale.
@@ -214,5 +215,12 @@ def common_stock_only(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN o_totalprice * 1000 ELSE o_totalprice END AS value FROM orders")
 def unit_scale_by_period(spark: SparkSession, d: str) -> DataFrame:
-    """Values in thousands before a date, as they are after."""
-    return table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"), F.col("o_totalprice") * 1000).otherwise(F.col("o_totalprice")).alias("value"))
+    """Values in thousands before a date, as they are after: positions of two
+    periods."""
+    number = F.col("o_totalprice").cast("string")
+    raw = table(spark, d, "orders").select(
+        F.concat(F.lit(" "), F.col("o_orderkey").cast("string")).alias("nameOfIssuer"), F.lit(None).cast("string").alias("cusip"), F.lit(None).cast("string").alias("putCall"), number.alias("value"),
+        F.struct(F.lit("").alias("sshPrnamt")).alias("shrsOrPrnAmt"), (F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("_old"),
+    )
+    old, new = S.positions(raw.where("_old"), F.lit("2022-12-31")), S.positions(raw.where("NOT _old"), F.lit("2023-01-01"))
+    return old.unionByName(new).where("shares = 0 AND cusip = ''").select(F.col("issuer").cast("long").alias("o_orderkey"), "value")

@@ -48,7 +48,7 @@ def build_dataset(
 
 
 def _bulk(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(S.read_tsv(spark, f"{folder}/{n}.tsv") for n in ("INFOTABLE", "COVERPAGE", "SUBMISSION"))
+    return tuple(S.read_tsv(spark, f"{folder}/{n}.tsv", pos="_pos") for n in ("INFOTABLE", "COVERPAGE", "SUBMISSION"))
 
 
 def _priced(info: DataFrame) -> DataFrame:
@@ -61,14 +61,14 @@ def build_holders(spark: SparkSession, now: str, before: str, patterns: Sequence
 
     def families(folder: str) -> DataFrame:
         info, cover, submission = _bulk(spark, folder)
-        mine = H.restricted(_priced(info), F.broadcast(targets), "cusip")
-        known = H.original_only(mine, H.cover_flags(cover), keep_unknown=False).join(submission.select("ACCESSION_NUMBER", F.trim("CIK").alias("cik")).dropDuplicates(["ACCESSION_NUMBER"]), "ACCESSION_NUMBER", "left")
+        mine = H.restricted(_priced(info), targets, "cusip")
+        known = H.original_only(mine, H.cover_flags(cover, "_pos"), keep_unknown=False).join(H.filers(submission, "_pos"), "ACCESSION_NUMBER", "left")
         rows = known.withColumns({"family": X.manager_family(F.col("manager")), "filer": F.coalesce("cik", "ACCESSION_NUMBER")})
         return H.roll_up(rows, ["cusip", "family"], "filer")
 
     a, b = families(now), families(before)
-    K.write_report(H.top_holders(a, b).join(F.broadcast(targets), "cusip").orderBy("ticker", "rank"), f"{out}/institutional_holders")
-    K.write_report(H.holder_summary(a, b).join(F.broadcast(targets), "cusip").orderBy("ticker"), f"{out}/institutional_holders_summary")
+    K.write_report(H.top_holders(a, b).join(targets, "cusip").orderBy("ticker", "rank"), f"{out}/institutional_holders")
+    K.write_report(H.holder_summary(a, b).join(targets, "cusip").orderBy("ticker"), f"{out}/institutional_holders_summary")
 
 
 def build_flows(spark: SparkSession, now: str, before: str, out: str, floor: float = H.FLOOR, limit: int = H.TOP) -> None:
@@ -76,12 +76,8 @@ def build_flows(spark: SparkSession, now: str, before: str, out: str, floor: flo
 
     def securities(folder: str) -> DataFrame:
         info, cover, _ = _bulk(spark, folder)
-        rows = H.original_only(_priced(info), H.cover_flags(cover), keep_unknown=True)
-        return H.roll_up(rows, ["cusip"], "ACCESSION_NUMBER").join(issuers(rows), "cusip", "left")
-
-    def issuers(rows: DataFrame) -> DataFrame:
-        name = F.trim("NAMEOFISSUER")
-        return rows.where(name != "").groupBy("cusip").agg(F.min_by(name, F.struct("ACCESSION_NUMBER", name)).alias("issuer"))
+        rows = H.original_only(_priced(info), H.cover_flags(cover, "_pos"), keep_unknown=True)
+        return H.roll_up(rows, ["cusip"], "ACCESSION_NUMBER").join(H.first_issuer(rows, ["cusip"], "_pos"), "cusip", "left")
 
     a, b = securities(now), securities(before)
     flows = H.market_flows(a, b, ["cusip"], floor).join(a.select("cusip", "issuer"), "cusip")

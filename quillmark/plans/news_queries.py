@@ -99,7 +99,7 @@ def mention_gate(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "part").where("p_partkey < 40").select(F.col("p_name").alias("name")).distinct()
     known = names.select("name", X.name_keywords(F.col("name")).alias("_keys"))
     docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("_low"))
-    return docs.join(F.broadcast(known), X.mentions(F.col("_low"), F.col("name"), F.col("_keys"), lowered=True)).select("doc_id", "name")
+    return docs.join(known, X.mentions(F.col("_low"), F.col("name"), F.col("_keys"), lowered=True)).select("doc_id", "name")
 
 
 @query("""
@@ -250,10 +250,7 @@ WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORD
 """)
 def recency_list(spark: SparkSession, d: str) -> DataFrame:
     """The last twelve events of each user."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return table(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("_n")).where("_n <= 12").drop("_n")
+    return N.latest(table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", [F.desc("ts"), F.desc("event_id")], 12).select("user_id", "event_id")
 
 
 _FORM = """<?xml version="1.0"?><ownershipDocument><reportingOwner><reportingOwnerId><rptOwnerName>%s</rptOwnerName></reportingOwnerId>

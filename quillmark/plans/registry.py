@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.plans import filing_queries, holding_queries, news_queries, stream_queries
+from quillmark.plans import chain_queries, file_queries, filing_queries, holding_queries, news_queries, stream_queries
 from quillmark.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "filing_queries", "holding_queries", "news_queries", "stream_queries"]
+__all__ = ["ORACLES", "QUERIES", "chain_queries", "file_queries", "filing_queries", "holding_queries", "news_queries", "stream_queries"]

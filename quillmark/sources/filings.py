@@ -70,16 +70,23 @@ def unzip(archive: str | Path, target: str | Path) -> None:
         z.extractall(target)
 
 
-def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated table without quoting.  Lines with fewer cells than the
-    header are left out; further cells of longer lines are ignored."""
+def read_tsv(spark: SparkSession, path: str, pos: str | None = None) -> DataFrame:
+    """A tab-separated file without quoting, its first line the header.  Lines
+    with fewer cells than the header are left out; further cells of longer lines
+    are ignored.  ``pos`` names a column for the place of each line, which
+    orders the lines as they are in the file."""
     lines = spark.read.text(path)
     head = lines.first()
     if head is None:
         return spark.createDataFrame([], "value string")
     names = head[0].rstrip("\r").split("\t")
     parts = F.split(F.regexp_replace("value", "\r$", ""), "\t", -1)
-    return lines.where(F.col("value") != head[0]).select(parts.alias("_p")).where(F.size("_p") >= len(names)).select(*(F.col("_p")[i].alias(n) for i, n in enumerate(names)))
+    # Within a block lines are numbered as they are read.
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    placed = lines.select("value", place.alias("_at"))
+    first = (F.col("_at.block") == 0) & (F.col("_at.line").bitwiseAND(F.lit((1 << 33) - 1)) == 0) & (F.col("value") == head[0])
+    cells = placed.where(~first).select(parts.alias("_p"), "_at").where(F.size("_p") >= len(names))
+    return cells.select(*(F.col("_p")[i].alias(n) for i, n in enumerate(names)), *([F.col("_at").alias(pos)] if pos else []))
 
 
 def information_table_file(files: DataFrame) -> DataFrame:

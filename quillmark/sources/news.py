@@ -31,7 +31,7 @@ def company_feed(raw: DataFrame, companies: DataFrame) -> DataFrame:
     whose text names the company."""
     known = companies.select("ticker", X.name_keywords(F.col("name")).alias("_keys"))
     said = F.concat_ws(" ", F.coalesce("headline", F.lit("")), F.coalesce("summary", F.lit("")))
-    return raw.join(F.broadcast(known), "ticker").where(X.mentions(said, F.col("ticker"), F.col("_keys"))).select(
+    return raw.join(known, "ticker").where(X.mentions(said, F.col("ticker"), F.col("_keys"))).select(
         F.lit("finnhub").alias("source"), F.concat(F.lit("fh:"), F.col("id").cast("string")).alias("uid"), F.array("ticker").alias("tickers"),
         F.trim(F.coalesce("headline", F.lit(""))).alias("title"), F.substring(F.trim(F.coalesce("summary", F.lit(""))), 1, 500).alias("summary"),
         F.coalesce("url", F.lit("")).alias("url"), F.col("datetime").cast("long").alias("published"),
@@ -40,7 +40,7 @@ def company_feed(raw: DataFrame, companies: DataFrame) -> DataFrame:
 
 def event_filings(filings: DataFrame, companies: DataFrame) -> DataFrame:
     """8-K filings (of :func:`quillmark.sources.filings.tracked_filings`) as news."""
-    return filings.join(F.broadcast(companies.select("cik", "ticker")), "cik").select(
+    return filings.join(companies.select("cik", "ticker"), "cik").select(
         F.lit("sec_8k").alias("source"), F.concat(F.lit("8k:"), "accession").alias("uid"), F.array("ticker").alias("tickers"),
         F.concat("ticker", F.lit(" filed "), "form", F.lit(" (material event)")).alias("title"), F.lit("Current report: official disclosure of a material event.").alias("summary"),
         F.col("view_url").alias("url"), X.unix_from_date(F.col("date")).alias("published"),
