@@ -210,4 +210,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     Repeated rows are packed each.  Texts of any length are encoded whole.
     Further columns are ignored; an empty table gives an empty result.
     """
-    return pack_lengths(token_counts(docs, vocabulary), capacity)
+    # Written once: the range shuffle samples its input before it reads it.
+    return pack_lengths(cut(token_counts(docs, vocabulary)), capacity)
