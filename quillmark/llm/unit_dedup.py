@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import arrow_map, texts_of
+from quillmark.llm.common import arrow_map, cut, lists, texts_of
 
 #: Units of fewer words are too common by chance to count as repeats.
 MIN_LINE_WORDS = 4
@@ -43,11 +43,11 @@ def units(text: str, min_line: int = MIN_LINE_WORDS, min_sentence: int = MIN_SEN
         at += len(line) + 1
 
 
-def first_units(text: str, min_line: int, min_sentence: int) -> dict[str, int]:
-    """Each normal form of the text and its first place: twice the start, plus
-    1 for a sentence, which may begin where its line does."""
+def first_places(found: list[tuple]) -> dict[str, int]:
+    """Each normal form of the ``units`` of a text and its first place: twice
+    the start, plus 1 for a sentence, which may begin where its line does."""
     first: dict[str, int] = {}
-    for start, _, norm, parts in units(text, min_line, min_sentence):
+    for start, _, norm, parts in found:
         if norm is not None:
             first.setdefault(norm, 2 * start)
         for p, _, form in parts:
@@ -62,10 +62,11 @@ def removed_spans(text: str, gone: set[int], min_line: int, min_sentence: int) -
 
     A line that goes takes its line break along.
     """
-    first = first_units(text, min_line, min_sentence)
+    found = list(units(text, min_line, min_sentence))
+    first = first_places(found)
     drop = lambda form, place: form is not None and ((f := first[form]) != place or f in gone)
     spans, n = [], 0
-    for start, end, norm, parts in units(text, min_line, min_sentence):
+    for start, end, norm, parts in found:
         n += 1 + len(parts)
         if drop(norm, 2 * start):
             spans.append((start, min(end + 1, len(text))))
@@ -116,24 +117,30 @@ def unit_dedup(docs: DataFrame, min_line: int = MIN_LINE_WORDS, min_sentence: in
     their rank and all lose the same.  Further columns are ignored; an empty
     table gives an empty result.
 
+    Two occurrences at one rank are copies of one place and share its fate, so
+    of equal units there is no further order to settle.  Texts of any length are
+    worked on whole, in time and memory that grow with their length; offsets are
+    64-bit.
+
     The first occurrence within a document is found where the text is read, so
     one row for each distinct unit of a document is shuffled, and the grouping
-    keeps two integers for each digest.
+    keeps two integers for each digest.  The digests are made once and kept in
+    the checkpoint folder for the grouping and for what follows from it.
     """
     base = docs.select("doc_id", "text")
 
     def emit(batch: pa.RecordBatch):
-        ids, starts, raw, counts = batch.column(0), [], [], []
+        starts, raw, counts = [], [], [0]
         for t in texts_of(batch.column(1)):
-            first = first_units(t, min_line, min_sentence)
+            first = first_places(list(units(t, min_line, min_sentence)))
             counts.append(len(first))
             starts += first.values()
             raw += [xxhash.xxh3_128_digest(k.encode("utf-8", "surrogatepass")) for k in first]
-        digests = np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
-        at = np.repeat(np.arange(len(counts)), counts)
-        yield pa.record_batch([ids.take(pa.array(at)), pa.array(starts, pa.int32()), pa.array(digests[:, 0]), pa.array(digests[:, 1])], names=["doc_id", "at", "hi", "lo"])
+        digests, ends = np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2), np.cumsum(counts)
+        yield pa.record_batch([batch.column(0), *(lists(v, ends, pa.int64()) for v in (np.array(starts, np.int64), digests[:, 0], digests[:, 1]))], names=["doc_id", "at", "hi", "lo"])
 
-    found = arrow_map(base.where("doc_id IS NOT NULL"), emit, "doc_id long, at int, hi long, lo long")
+    each = cut(arrow_map(base.where("doc_id IS NOT NULL"), emit, "doc_id long, at array<long>, hi array<long>, lo array<long>"))
+    found = each.select("doc_id", F.inline(F.arrays_zip("at", "hi", "lo")))
     repeated = found.groupBy("hi", "lo").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last")
     gone = found.join(repeated, ["hi", "lo"]).where("doc_id > _first").groupBy("doc_id").agg(F.collect_set("at").alias("_gone"))
     joined = base.join(gone, "doc_id", "left")
