@@ -66,8 +66,11 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, k: in
     end_char, votes, similarity`` (common words over the longer of template and
     span); offsets are into the original text.  Where spans of a document
     overlap, that with the most words in common stays, then the most similar,
-    then the earliest.  Texts that are null or of fewer than ``k`` words and
-    rows of null ``doc_id`` give nothing.  Repeated rows give their spans once.
+    then the earliest, then that of the first template by name.  Texts that are
+    null or of fewer than ``k`` words and rows of null ``doc_id`` give nothing.
+    Repeated rows give their spans once; rows that share only ``doc_id`` are told
+    apart by their text, and each gives its own.  Texts of any length are
+    scanned whole; only the words about a span are aligned.
     Templates of fewer than ``k`` words can't match.  Further columns are
     ignored; an empty table gives an empty result.
     """
@@ -81,32 +84,54 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, k: in
         sizes.append((t, max(1, int(np.ceil(len(g) * min_votes))), len(words[name])))
     positions = spark.createDataFrame(rows, "h long, tid int, tpos int")
     need = spark.createDataFrame(sizes, "tid int, need int, size int")
-    base = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    base = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def hash_all(batch: pa.RecordBatch):
-        texts = texts_of(batch.column(1))
+        texts = texts_of(batch.column(2))
         for b, e in steps(texts):
             h, _, _, first = words_of(texts[b:e])
             g, at = grams(h, first, k)
-            yield pa.record_batch([batch.column(0).slice(b, e - b), lists(g.view(np.int64), gram_first(at, first), pa.int64())], names=["doc_id", "grams"])
+            yield pa.record_batch([batch.column(0).slice(b, e - b), batch.column(1).slice(b, e - b), lists(g.view(np.int64), gram_first(at, first), pa.int64())], names=["doc_id", "_h", "grams"])
 
-    rolled = arrow_map(base, hash_all, "doc_id long, grams array<long>").select("doc_id", F.posexplode("grams").alias("dpos", "h"))
+    rolled = arrow_map(base, hash_all, "doc_id long, _h long, grams array<long>").select("doc_id", "_h", F.posexplode("grams").alias("dpos", "h"))
     small = len(rows) <= BROADCAST_POSITIONS
     votes = (
         rolled.join(F.broadcast(positions) if small else positions, "h")
-        .groupBy("doc_id", "tid", (F.col("dpos") - F.col("tpos")).alias("diag"))
+        .groupBy("doc_id", "_h", "tid", (F.col("dpos") - F.col("tpos")).alias("diag"))
         .agg(F.countDistinct("tpos").alias("votes"), F.min("dpos").alias("lo"), F.max("dpos").alias("hi"))
     )
     # Neighbouring diagonals in order of document position: a new alignment
     # begins where the diagonal jumps by more than the slack.
-    order = Window.partitionBy("doc_id", "tid").orderBy("diag", "lo", "hi")
+    order = Window.partitionBy("doc_id", "_h", "tid").orderBy("diag", "lo", "hi")
     merged = (
         votes.withColumn("_new", F.when(F.col("diag") - F.lag("diag").over(order) <= slack, 0).otherwise(1))
         .withColumn("_run", F.sum("_new").over(order))
-        .groupBy("doc_id", "tid", "_run").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .groupBy("doc_id", "_h", "tid", "_run").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .join(F.broadcast(need), "tid").where("votes >= need")
-        .groupBy("doc_id").agg(F.collect_list(F.struct("tid", "votes", "lo", "hi")).alias("_spans"))
+        .groupBy("doc_id", "_h").agg(F.collect_list(F.struct("tid", "votes", "lo", "hi")).alias("_spans"))
     )
+    # Only texts that hold enough grams of some template are shuffled to their
+    # spans: a test of each text by itself, which no text with such a span fails.
+    known, begin, size = np.unique(np.array([r[0] for r in sorted(rows)], np.int64), return_index=True, return_counts=True)
+    tid = np.array([r[1] for r in sorted(rows)], np.int64)
+    enough = np.array([n for _, n, _ in sizes], np.int64)
+
+    def likely(batch: pa.RecordBatch):
+        texts, keep = texts_of(batch.column(2)), np.zeros(batch.num_rows, bool)
+        for b, e in steps(texts):
+            h, _, _, first = words_of(texts[b:e])
+            g, at = grams(h, first, k)
+            i = np.minimum(np.searchsorted(known, g.view(np.int64)), len(known) - 1)
+            held = np.flatnonzero(known[i] == g.view(np.int64))
+            i, doc = i[held], np.searchsorted(first, at[held], "right") - 1
+            n = size[i]
+            which = tid[np.repeat(begin[i] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            pair, votes = np.unique(np.repeat(doc, n) * len(enough) + which, return_counts=True)
+            keep[b + pair[votes >= enough[pair % len(enough)]] // len(enough)] = True
+        yield batch.filter(pa.array(keep))
+
+    if small and len(known):
+        base = arrow_map(base, likely, base.schema)
 
     def verify(batch: pa.RecordBatch):
         out: list[tuple] = []
@@ -131,4 +156,4 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, k: in
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         yield pa.record_batch([pa.array(list(c), kind) for c, kind in zip(cols, kinds)], names=["doc_id", "license", "start_char", "end_char", "votes", "similarity"])
 
-    return arrow_map(base.join(merged, "doc_id"), verify, "doc_id long, license string, start_char long, end_char long, votes long, similarity double").distinct()
+    return arrow_map(base.join(merged, ["doc_id", "_h"]).select("doc_id", "text", "_spans"), verify, "doc_id long, license string, start_char long, end_char long, votes long, similarity double").distinct()
