@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -124,28 +125,58 @@ def common_prefixes(tokens: np.ndarray, order: np.ndarray, cap: int, lane: int =
     return lcp
 
 
+def settled(keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, once each, and the least rank of each."""
+    by = np.lexsort((ranks, keys))
+    keys, ranks = keys[by], ranks[by]
+    new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+    return keys[new], ranks[new]
+
+
+def merge_two(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted blocks as one: each key of the smaller finds its place in the
+    larger by binary search; where both have a key, the lower rank stays."""
+    if len(x[0]) < len(y[0]):
+        x, y = y, x
+    if not len(y[0]):
+        return x
+    at = np.searchsorted(x[0], y[0])
+    met = x[0][np.minimum(at, len(x[0]) - 1)] == y[0]
+    least = x[1].copy()
+    least[at[met]] = np.minimum(least[at[met]], y[1][met])
+    return np.insert(x[0], at[~met], y[0][~met]), np.insert(least, at[~met], y[1][~met])
+
+
 def merge_blocks(keys: list[np.ndarray], ranks: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
     """For each sorted block, which of its keys have an occurrence of lower
-    rank in another block, or another place in this one.
+    rank in any block.  Occurrences of equal rank are one place.
 
-    All keys are put in one order and each block finds its places there by
-    binary search; the least rank at each place is the one that stays.
+    Blocks are merged two by two, the smallest first, until one is left; each
+    then looks up its own keys there, again by binary search.
     """
-    order = np.unique(np.concatenate(keys))
-    place = np.concatenate([np.searchsorted(order, k) for k in keys])
     columns = [np.concatenate(c) for c in zip(*ranks)]
-    by = np.lexsort((*columns[::-1], place))
-    later = np.ones(len(place), bool)
-    sorted_place = place[by]
-    later[by[np.append(True, sorted_place[1:] != sorted_place[:-1])]] = False
-    return np.split(later, np.cumsum([len(k) for k in keys])[:-1])
-
-
-def _anchor_rows(docs: DataFrame, least: int, size: int) -> DataFrame:
+    by = np.lexsort(columns[::-1])
+    new = np.zeros(len(by), bool)
+    for c in columns:
+        new[1:] |= c[by][1:] != c[by][:-1]
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.cumsum(new)
+    own = np.split(rank, np.cumsum([len(k) for k in keys])[:-1])
+    heap = [(len(k), i, settled(k, r)) for i, (k, r) in enumerate(zip(keys, own))]
+    heapify(heap)
+    while len(heap) > 1:
+        (_, i, x), (_, _, y) = heappop(heap), heappop(heap)
+        z = merge_two(x, y)
+        heappush(heap, (len(z[0]), i, z))
+    every, least = heap[0][2]
+    return [r > least[np.searchsorted(every, k)] for k, r in zip(keys, own)]
+
+
+def _anchor_lists(docs: DataFrame, least: int, size: int) -> DataFrame:
     """Distinct anchors of each document and how often each is chosen."""
 
     def step(batch: pa.RecordBatch):
-        texts = texts_of(batch.column(1))
+        texts = texts_of(batch.column(2))
         for b, e in steps(texts):
             h, _, _, first = words_of(texts[b:e])
             _, grams, chosen = anchors(h, first, least, size)
@@ -156,10 +187,14 @@ def _anchor_rows(docs: DataFrame, least: int, size: int) -> DataFrame:
             new = np.ones(len(g), bool)
             new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
             starts = np.flatnonzero(new)
-            ids = batch.column(0).take(pa.array(b + doc[starts]))
-            yield pa.record_batch([ids, pa.array(g[starts].view(np.int64)), pa.array(np.diff(np.append(starts, len(g))))], names=["doc_id", "anchor", "n"])
+            some, n = np.unique(doc[starts], return_counts=True)
+            ends, rows = np.append(0, np.cumsum(n)), pa.array(b + some)
+            yield pa.record_batch(
+                [batch.column(0).take(rows), batch.column(1).take(rows), lists(g[starts].view(np.int64), ends, pa.int64()), lists(np.diff(np.append(starts, len(g))), ends, pa.int32())],
+                names=["doc_id", "_h", "anchor", "n"],
+            )
 
-    return arrow_map(docs, step, "doc_id long, anchor long, n long")
+    return arrow_map(docs, step, "doc_id long, _h long, anchor array<long>, n array<int>")
 
 
 _SHARD = "range_id int, doc_id long, _h long, keys array<long>, docs array<long>, hs array<long>, start array<int>, end array<int>"
@@ -264,16 +299,16 @@ def repeated_spans(docs: DataFrame, least: int = MIN_WORDS, size: int = ANCHOR_W
     """``doc_id, _h`` (hash of the text) and ``_spans``: the parts of the text
     that repeat ``least`` words of an earlier place, not yet merged."""
     base = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = _anchor_rows(base.select("doc_id", "text"), least, size)
+    rows = cut(_anchor_lists(base, least, size)).select("doc_id", "_h", F.inline(F.arrays_zip("anchor", "n")))
     hot = cut(rows.groupBy("anchor").agg(F.sum("n").alias("g")).where("g > 1"))
     ranges = max(1, -(-hot.count() // range_anchors))
     # Documents that share anchors come together, so most repeats are settled
     # within a shard; those of a very common anchor fill several shards.
     holds = (
-        rows.select("doc_id", "anchor").join(hot, "anchor").groupBy("doc_id")
+        rows.select("doc_id", "_h", "anchor").join(hot, "anchor").groupBy("doc_id", "_h")
         .agg(F.collect_set(F.struct("anchor", "g")).alias("_hot"), F.min("anchor").alias("_lead"))
     )
-    near = base.join(holds, "doc_id").hint("rebalance", "_lead").sortWithinPartitions("_lead", "doc_id", "_h")
+    near = base.join(holds, ["doc_id", "_h"]).hint("rebalance", "_lead").sortWithinPartitions("_lead", "doc_id", "_h")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], tuple[str, dict[int, int]]] = {}
@@ -341,14 +376,17 @@ def suffix_dedup(docs: DataFrame, least: int = MIN_WORDS, size: int = ANCHOR_WOR
     it; passages whose anchor occurs once can't repeat and go no further.  The
     rest is put in shards, each with its suffix array and common prefixes, and
     first occurrences whose anchor other shards have too are merged across
-    shards by ranges of keys.  None of this changes the result.
+    shards: by ranges of the digest of their ``least`` words, each shard's sorted
+    block into the others' by binary search.  None of this changes the result.
 
     Result, one row for each row of ``docs``: ``doc_id, text`` (without what
     repeats)``, n_removed`` (spans)``, removed_chars, removed_spans``
     (``start-end`` offsets into the original, joined by ``;``).  Null text
     stays null.  Rows of null ``doc_id`` are neither compared nor changed.
     Repeated rows (same ``doc_id`` and text) are one document and get the same
-    result; rows that share only ``doc_id`` are told apart by their text.
+    result, wherever their shards are; rows that share only ``doc_id`` are told
+    apart by their text, and of equal places in them that of the lower hash of
+    the text comes first.  A text longer than a shard is a shard by itself.
     Further columns are ignored; an empty table gives an empty result.
     """
     spans = repeated_spans(docs, least, size, shard_words, range_anchors)
