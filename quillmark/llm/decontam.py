@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,8 @@ class Index:
         self.pos = (np.concatenate(pos) if pos else np.zeros(0, np.int64))[order]
         #: Bands are 2^z wide and overlap by the edits, with 2^z > edits.
         self.z = np.array([max(1, int(e).bit_length()) for e in self.edits] or [1])
+        #: Added to diagonals, so that none is negative however long an item is.
+        self.shift = (max(map(len, self.letters), default=0) // (1 << 20) + 1) << 20
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self._slot(self.key)] = True
         self.edits_a, self.need_a = np.array(self.edits or [0]), np.array(self.need or [0])
@@ -139,7 +142,7 @@ class Index:
         p, item, o = self.hits(grams)
         if not len(p):
             return []
-        diag = p - o + (1 << 20)  # never negative: items are far shorter
+        diag = p - o + self.shift
         z = self.z[item]
         band = diag >> z
         spill = (diag & ((1 << z) - 1)) < self.edits_a[item]  # also in the band before
@@ -151,7 +154,7 @@ class Index:
         if not ok.any():
             return []
         item, count = item[ok], count[ok]
-        first = (band[ok] << self.z[item]) - (1 << 20)
+        first = (band[ok] << self.z[item]) - self.shift
         last = first + (1 << self.z[item]) + self.edits_a[item] - 1
         # bands of an item that touch are aligned as one
         new = np.append(True, (item[1:] != item[:-1]) | (first[1:] > last[:-1] + 1))
@@ -266,17 +269,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
     end_char, edits, shared``; offsets are into the original text.  Items of
     fewer than ``q`` characters are no evidence and match nothing.  Null texts
     match nothing; null ``doc_id`` is kept as null; repeated documents are
-    reported each, repeated items once.  Further columns are ignored; an empty
-    table on either side gives an empty result.
+    reported each, repeated items once.  Texts and items of any length are
+    compared whole.  Where finds of one item overlap, that of fewest edits stays,
+    then the earliest; different items are reported whether they overlap or not.
+    Further columns are ignored; an empty table on either side gives an empty
+    result.
 
     The documents aren't shuffled.  The benchmark is read in slices of
     ``slice_chars``, each of which is held by a task at a time.
     """
-    out = None
-    for items in _slices(benchmark, slice_chars):
-        found = _scan(docs, items, q, rate)
-        out = found if out is None else out.unionByName(found)
-    return out
+    out = [_scan(docs, items, q, rate) for items in _slices(benchmark, slice_chars)]
+    return reduce(DataFrame.unionByName, out)
 
 
 def _scan(docs: DataFrame, items: list[tuple[int, str]], q: int, rate: float) -> DataFrame:

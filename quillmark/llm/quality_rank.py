@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,14 +86,16 @@ def features(texts: list[str]) -> np.ndarray:
 
 
 def preference_pairs(better: np.ndarray, worse: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (better, worse): each document of the smaller side meets
-    ``each`` of the other side, which are taken in turn."""
+    """Index pairs (better, worse): each document of the smaller side meets at
+    least ``each`` of the other side, and each of the larger side at least one;
+    both sides are gone through evenly from first to last."""
     a, b = len(better), len(worse)
-    n = min(a, b) * each
-    if not n:
+    if not a or not b:
         return np.zeros(0, int), np.zeros(0, int)
+    n = max(a, b, min(a, b) * each)
     k = np.arange(n)
-    return (k % a, (k // each) % b) if b <= a else ((k // each) % a, k % b)
+    large, small = k % max(a, b), k * min(a, b) // n
+    return (large, small) if a >= b else (small, large)
 
 
 def fit(x: np.ndarray, y: np.ndarray, each: int = PAIRS_EACH, ridge: float = RIDGE, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,13 +141,14 @@ def _features_of(df: DataFrame, extra: str) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = LEARN_DOCS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fit on at most ``bound`` labelled documents, those of least id hash."""
+    """Fit on at most ``bound`` labelled documents, those of least MD5 of the
+    id, in that order, so that pairs don't follow the order of ids."""
     picked = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("_quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+        .orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(bound)
     )
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
-    rows = sorted(_features_of(sample, "_quality").collect(), key=lambda r: (r.doc_id, r.x))
+    rows = sorted(_features_of(sample, "_quality").collect(), key=lambda r: (hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id, r.x))
     x = np.array([r.x for r in rows]).reshape(-1, len(NAMES))
     return fit(x, np.array([r["_quality"] for r in rows], int))
 
@@ -161,7 +166,8 @@ def quality_rank(docs: DataFrame, labels: DataFrame, quantile: float | None = No
     Result, one row for each row of ``docs``: ``doc_id, score, keep``.  Ties at
     the threshold are kept.  Null text counts as empty and is scored as such;
     null ``doc_id`` stays null; repeated rows are scored each.  Without labels
-    of both kinds all scores are 0 and all rows are kept.  Further columns are
+    of both kinds all scores are 0 and all rows are kept.  Texts of any length
+    are read whole, in time that grows with their length.  Further columns are
     ignored; an empty table gives an empty result.
     """
     centre, scale, w = learn(docs, labels, bound)
