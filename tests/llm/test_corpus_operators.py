@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -101,6 +102,95 @@ def test_licences_are_found(spark, writer, docs_of):
     assert found[0][2] == "Licensed under CC BY-NC 4.0" and found[1][2].startswith("Permission is hereby") and found[1][2].endswith("of the Software")
 
 
+def licences_by_hand(texts: dict, templates: dict) -> set[tuple]:
+    """Votes counted in dictionaries, runs of diagonals in a loop, and every
+    candidate span aligned by the textbook recursion."""
+    words_of = lambda t: [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(t)]
+    out = set()
+    for d, text in texts.items():
+        have, hits = words_of(text), []
+        for name, template in templates.items():
+            want = [w for w, _, _ in words_of(template)]
+            place: dict = {}
+            for p in range(len(want) - 2):
+                place.setdefault(tuple(want[p : p + 3]), []).append(p)
+            votes: dict = {}
+            for p in range(len(have) - 2):
+                for o in place.get(tuple(w for w, _, _ in have[p : p + 3]), ()):
+                    votes.setdefault(p - o, []).append((o, p))
+            runs: list[list] = []
+            for diag in sorted(votes):
+                if not runs or diag - runs[-1][-1] > license_scan.SLACK:
+                    runs.append([])
+                runs[-1].append(diag)
+            for run in runs:
+                n = sum(len({o for o, _ in votes[g]}) for g in run)
+                if n < max(1, math.ceil((len(want) - 2) * license_scan.MIN_VOTES)):
+                    continue
+                at = [p for g in run for _, p in votes[g]]
+                margin = len(want) // 4 + license_scan.SLACK
+                a, b = max(0, min(at) - margin), min(len(have), max(at) + 3 + margin)
+                got = common_by_hand(want, [w for w, _, _ in have[a:b]])
+                sim = got[0] / max(len(want), got[2] - got[1] + 1)
+                if got[0] and sim >= license_scan.MIN_SIMILARITY:
+                    hits.append((-got[0], -sim, have[a + got[1]][1], have[a + got[2]][2], name, n))
+        taken: list = []
+        for h in sorted(hits):
+            if all(h[3] <= x[2] or x[3] <= h[2] for x in taken):
+                taken.append(h)
+        out |= {(d, name, x, y, v, round(-s, 9)) for _, s, x, y, name, v in taken}
+    return out
+
+
+def common_by_hand(a: list, b: list) -> tuple[int, int, int]:
+    """Longest common subsequence, traced back from its earliest end, template
+    words before text words."""
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = max(t[i][j + 1], t[i + 1][j], t[i][j] + (x == y))
+    if not (best := t[-1][-1]):
+        return 0, 0, 0
+    i, j = len(a), t[-1].index(best)
+    last = begin = j - 1
+    while i and j and t[i][j]:
+        if t[i - 1][j] == t[i][j]:
+            i -= 1
+        elif t[i][j - 1] == t[i][j]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            begin = j
+    return best, begin, last
+
+
+def test_licence_query_against_brute_force(spark, writer, tmp_path):
+    short = {n: t for n, t in license_scan.TEMPLATES.items() if len(t) < 700}
+    texts = {}
+    for i, name in enumerate(sorted(short) * 3):
+        worn = writer.edited(short[name], (0.0, 0.08, 0.25)[i % 3])
+        texts[i] = writer.text(30) + "\n" + worn + ("\n" + worn if i % 4 == 0 else "") + "\n" + writer.text(20)
+    texts |= {1000: writer.text(200), 1001: " ".join(sorted(short.values()))[:3000]}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.license, r.start_char, r.end_char, r.votes, round(r.similarity, 9)) for r in queries.op3_license_scan(spark, str(tmp_path)).collect()}
+    want = licences_by_hand(texts, license_scan.TEMPLATES)
+    assert got == want and len(want) > len(short)
+
+
+def test_texts_of_one_number_are_told_apart(spark, writer, docs_of):
+    notice = "Released under the MIT License."
+    texts = [(1, writer.text(50) + " " + notice), (1, notice + " " + writer.text(50)), (1, writer.text(9)), (2, notice), (2, notice)]
+    got = license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start_char) for r in got) == sorted([(1, texts[0][1].index(notice)), (1, 0), (2, 0)])
+
+
+def test_both_ways_to_join_templates(spark, writer, docs_of, monkeypatch):
+    texts = [writer.text(40) + " Released under the MIT License. " + writer.text(9) for _ in range(5)] + [writer.text(60)]
+    one = sorted(license_scan.license_scan(docs_of(texts)).collect())
+    monkeypatch.setattr(license_scan, "BROADCAST_POSITIONS", 0)
+    assert sorted(license_scan.license_scan(docs_of(texts)).collect()) == one and len(one) == 5
+
+
 def test_alignment_is_the_longest_common_subsequence():
     r = np.random.default_rng(2)
     for _ in range(30):
@@ -131,6 +221,62 @@ def test_quality_on_held_out_labels(spark, writer, docs_of):
     assert abs(share - 150) <= 2
 
 
+def features_by_hand(text: str) -> list[float]:
+    words = [m.group().lower() for m in WORD.finditer(text)]
+    lines = (text + "\n").split("\n")[:-1]
+    n, some, nl = len(text), max(len(words), 1), max(len(lines), 1)
+    prose = set(".,;:'\"-()?’“”«»¿¡")
+    mark = sum(c in prose for c in text)
+    symbol = sum(not c.isspace() and not c.isdigit() and not c.isalpha() and c not in prose for c in text)
+    pairs = list(zip(words, words[1:]))
+    return [
+        math.log1p(len(words)), sum(c.isalpha() and c.isupper() for c in text) / max(n, 1), sum(c.isdigit() for c in text) / max(n, 1), mark / max(n, 1), symbol / max(n, 1),
+        sum(c.isspace() for c in text) / max(n, 1), sum(map(len, words)) / some, math.log1p(len(words) / nl), len(set(words)) / some, sum(a == b for a, b in pairs) / some,
+        len(set(pairs)) / max(len(pairs), 1), (mark + symbol) / some, sum(x[-1:] in list(".!?") for x in lines) / nl,
+    ]
+
+
+def ranked_by_hand(texts: list[str], quality: dict[int, int]) -> tuple[np.ndarray, float]:
+    """Scores and threshold: plain gradient descent on every preference pair
+    the operator draws, quantiles of sorted lists."""
+    x = np.array([features_by_hand(t) for t in texts])
+    known = [i for i in quality if i < len(texts)]
+    centre, scale = x[known].mean(axis=0), x[known].std(axis=0)
+    z = (x - centre) / np.where(scale > 1e-9, scale, 1.0)
+    order = sorted(known, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
+    good, bad = [i for i in order if quality[i]], [i for i in order if not quality[i]]
+    large, small = (good, bad) if len(good) >= len(bad) else (bad, good)
+    n = max(len(large), len(small) * quality_rank.PAIRS_EACH)
+    pairs = [(large[k % len(large)], small[k * len(small) // n]) for k in range(n)]
+    d = np.array([z[a] - z[b] if large is good else z[b] - z[a] for a, b in pairs])
+    w = np.zeros(z.shape[1])
+    step = 1 / (0.25 * np.linalg.eigvalsh(d.T @ d / n)[-1] + quality_rank.RIDGE)
+    v, before = w.copy(), w.copy()
+    for i in range(60_000):  # with momentum, as some features hardly differ
+        w = v + step * ((d / (1 + np.exp(d @ v))[:, None]).mean(axis=0) - quality_rank.RIDGE * v)
+        v, before = w + i / (i + 3) * (w - before), w
+    scores = z @ w
+    at = lambda side, q: sorted(scores[side])[max(0, math.ceil(q * len(side)) - 1)]
+    return scores, (at(good, quality_rank.TAIL) + at(bad, 1 - quality_rank.TAIL)) / 2
+
+
+def test_quality_query_against_brute_force(spark, writer, tmp_path):
+    texts = [writer.text(writer.r.randint(5, 90)) if i % 3 else " ".join(x.upper() + "!" * (i % 4) for x in writer.words(40)) + " | 12" for i in range(90)] + ["", "x"]
+    quality = {i: int(i % 3 != 0 or i % 7 == 0) for i in range(60)}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, q in quality.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    scores, limit = ranked_by_hand(texts, quality)
+    got = {r.doc_id: r for r in queries.op4_quality_rank(spark, str(tmp_path)).collect()}
+    assert max(abs(got[i].score - scores[i]) for i in range(len(texts))) < 2e-3 * scores.std()
+    assert all(got[i].keep == (scores[i] >= limit) for i in range(len(texts)) if abs(scores[i] - limit) > 0.1)
+
+
+def test_every_labelled_document_is_in_a_pair():
+    for a, b in ((3, 100), (100, 3), (7, 7), (1, 1), (0, 5)):
+        i, j = quality_rank.preference_pairs(np.zeros((a, 1)), np.zeros((b, 1)), 8)
+        assert set(i) == set(range(a if b else 0)) and set(j) == set(range(b if a else 0))
+
+
 def test_fit_is_the_optimum():
     r = np.random.default_rng(3)
     x, y = r.normal(size=(60, len(quality_rank.NAMES))), r.integers(0, 2, 60)
@@ -545,6 +691,28 @@ def test_repeats_against_brute_force(spark, writer, docs_of, shard, ranges):
     assert all(left.get(i, "") == (got[i].text if any(c.isalnum() for c in got[i].text) else left.get(i, "")) for i in got)
 
 
+@settings(deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 3), st.integers(0, 1)), min_size=1, max_size=8), min_size=1, max_size=6))
+def test_blocks_are_merged(blocks):
+    blocks = [sorted(b) for b in blocks]
+    keys = [np.array([k for k, _, _ in b], np.uint64) for b in blocks]
+    ranks = [tuple(np.array([r[i] for r in b]) for i in (1, 2)) for b in blocks]
+    least: dict = {}
+    for k, *r in (x for b in blocks for x in b):
+        least[k] = min(least.get(k, r), r)
+    assert [m.tolist() for m in suffix_dedup.merge_blocks(keys, ranks)] == [[r > least[k] for k, *r in b] for b in blocks]
+
+
+def test_a_document_in_two_shards_keeps_its_passage(spark, writer):
+    text, other = writer.text(80), writer.text(40)
+    lot = [np.array([7]), np.array([3]), np.array([0])]
+    assert [m.tolist() for m in suffix_dedup.merge_blocks([np.array([1, 2], np.uint64)] * 2, [tuple(np.repeat(c, 2) for c in lot)] * 2)] == [[False, False]] * 2
+    df = spark.createDataFrame([(1, text)] * 6 + [(2, text + " " + other)] * 2, "doc_id long, text string").repartition(8)
+    for shard in (10, 1 << 18):
+        got = {(r.doc_id, r.text.strip(" .!\n")) for r in suffix_dedup.suffix_dedup(df, 12, 6, shard, 5).collect()}
+        assert got == {(1, text.strip(" .!\n")), (2, other.strip(" .!\n"))}
+
+
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=30), st.integers(1, 9))
 def test_sliding(values, width):
     if len(values) >= width:
