@@ -176,7 +176,7 @@ def _anchor_lists(docs: DataFrame, least: int, size: int) -> DataFrame:
     """Distinct anchors of each document and how often each is chosen."""
 
     def step(batch: pa.RecordBatch):
-        texts = texts_of(batch.column(2))
+        texts = texts_of(batch.column(1))
         for b, e in steps(texts):
             h, _, _, first = words_of(texts[b:e])
             _, grams, chosen = anchors(h, first, least, size)
@@ -190,11 +190,11 @@ def _anchor_lists(docs: DataFrame, least: int, size: int) -> DataFrame:
             some, n = np.unique(doc[starts], return_counts=True)
             ends, rows = np.append(0, np.cumsum(n)), pa.array(b + some)
             yield pa.record_batch(
-                [batch.column(0).take(rows), batch.column(1).take(rows), lists(g[starts].view(np.int64), ends, pa.int64()), lists(np.diff(np.append(starts, len(g))), ends, pa.int32())],
-                names=["doc_id", "_h", "anchor", "n"],
+                [batch.column(0).take(rows), lists(g[starts].view(np.int64), ends, pa.int64()), lists(np.diff(np.append(starts, len(g))), ends, pa.int32())],
+                names=["_key", "anchor", "n"],
             )
 
-    return arrow_map(docs, step, "doc_id long, _h long, anchor array<long>, n array<int>")
+    return arrow_map(docs, step, "_key long, anchor array<long>, n array<int>")
 
 
 _SHARD = "range_id int, doc_id long, _h long, keys array<long>, docs array<long>, hs array<long>, start array<int>, end array<int>"
@@ -299,16 +299,19 @@ def repeated_spans(docs: DataFrame, least: int = MIN_WORDS, size: int = ANCHOR_W
     """``doc_id, _h`` (hash of the text) and ``_spans``: the parts of the text
     that repeat ``least`` words of an earlier place, not yet merged."""
     base = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = cut(_anchor_lists(base, least, size)).select("doc_id", "_h", F.inline(F.arrays_zip("anchor", "n")))
+    # Anchors are shuffled under one number for each document and text; should
+    # two share it, they share their anchors, which changes nothing.
+    base = base.withColumn("_key", F.xxhash64("doc_id", "_h"))
+    rows = cut(_anchor_lists(base.select("_key", "text"), least, size)).select("_key", F.inline(F.arrays_zip("anchor", "n")))
     hot = cut(rows.groupBy("anchor").agg(F.sum("n").alias("g")).where("g > 1"))
     ranges = max(1, -(-hot.count() // range_anchors))
     # Documents that share anchors come together, so most repeats are settled
     # within a shard; those of a very common anchor fill several shards.
     holds = (
-        rows.select("doc_id", "_h", "anchor").join(hot, "anchor").groupBy("doc_id", "_h")
+        rows.select("_key", "anchor").join(hot, "anchor").groupBy("_key")
         .agg(F.collect_set(F.struct("anchor", "g")).alias("_hot"), F.min("anchor").alias("_lead"))
     )
-    near = base.join(holds, ["doc_id", "_h"]).hint("rebalance", "_lead").sortWithinPartitions("_lead", "doc_id", "_h")
+    near = base.join(holds, "_key").hint("rebalance", "_lead").sortWithinPartitions("_lead", "doc_id", "_h")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], tuple[str, dict[int, int]]] = {}
