@@ -16,7 +16,11 @@ from quillmark.llm.common import arrow_map, lists
 THRESHOLD = 0.95
 #: Sub-vectors of a residual, and words of the codebook of each.
 PARTS, WORDS = 8, 256
-#: Passes of Lloyd's method over all vectors, for lists and for codebooks.
+#: Inverted lists for each square root of the number of vectors.
+LISTS = 4
+#: Deviations of the normal part across a plane that a probe allows for.
+DEVIATIONS = 3.0
+#: Passes of Lloyd's method over all vectors, for lists and codebooks together.
 PASSES = 5
 #: Vectors of the lists that one task holds, and queries that it takes.
 BLOCK_VECTORS, TASK_QUERIES = 16_384, 20_000
@@ -47,15 +51,13 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
-def sufficient_lists(x: np.ndarray, centres: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+def sufficient_lists(x: np.ndarray, centres: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row of x, list) such that every list that can hold a vector
-    within ``radius`` of the row is there.
+    within ``margin`` of the row is there.
 
     A vector of list c lies on c's side of the plane midway between c and the
-    row's own centre, so c matters only if that plane is within the radius:
-    (|x - c|^2 - |x - own|^2) / (2 |c - own|) <= radius.  Of two lists that
-    hold a pair, the one of the lower number does the asking, so only lists
-    from the own number on are given.
+    row's own centre, so c matters only if that plane is within the margin:
+    (|x - c|^2 - |x - own|^2) / (2 |c - own|) <= margin.
     """
     square = (centres * centres).sum(axis=1)
     rows, found = [], []
@@ -63,13 +65,28 @@ def sufficient_lists(x: np.ndarray, centres: np.ndarray, radius: float) -> tuple
         d = square - 2 * (x[a:b] @ centres.T)
         own = np.argmin(d, axis=1)
         apart = np.sqrt(np.maximum(square[own][:, None] + square[None, :] - 2 * (centres[own] @ centres.T), 0))
-        near = d - d[np.arange(b - a), own][:, None] <= 2 * (radius + EPS) * apart + EPS
-        r, c = np.nonzero(near & (np.arange(len(centres))[None, :] >= own[:, None]))
+        near = d - d[np.arange(b - a), own][:, None] <= 2 * (margin + EPS) * apart + EPS
+        r, c = np.nonzero(near)
         rows.append(r + a)
         found.append(c)
     return np.concatenate(rows), np.concatenate(found)
 
 
+def margin_of(threshold: float, dim: int, deviations: float) -> float:
+    """How far off a list's plane may be for the list to be probed.
+
+    Near vectors differ by at most the radius, of which only the part across the
+    plane counts.  If they differ in any direction alike, that part is normal
+    with the radius over the square root of the dimension as its deviation, so
+    a pair at the very threshold is beyond three deviations in 0.13 % of cases,
+    and missed only if that holds for both of its vectors.  In low dimensions,
+    or with infinite ``deviations``, it is the radius itself, which no pair
+    exceeds.
+    """
+    radius = math.sqrt(max(0.0, 2 - 2 * threshold))
+    return radius * min(1.0, deviations / math.sqrt(dim))
+
+
 def parts_of(residual: np.ndarray, parts: int) -> np.ndarray:
     """Sub-vectors, zeros added where ``parts`` doesn't divide the dimension."""
     n, d = residual.shape
@@ -147,73 +164,93 @@ def scan_list(qid: np.ndarray, q: np.ndarray, tables: np.ndarray, home: np.ndarr
     return qid[i[ok]], vid[j[ok]], cosine[ok]
 
 
-def _lloyd(df: DataFrame, centres: np.ndarray, points, passes: int) -> np.ndarray:
-    """Lloyd's method over all rows.  ``centres``: (books, words, width);
-    ``points`` gives the points of a batch for each book.  A task adds up its
-    own points, so a pass brings one row for each centre to the driver."""
+def _lloyd(df: DataFrame, dim: int, centres: np.ndarray, books: np.ndarray, passes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lloyd's method over all rows, for lists and for the books of their
+    residuals in the same passes; and how many vectors each list had.
+
+    A task adds up its own points, the sums of a centre or word meet in one
+    task, and one row for each comes to the driver.
+    """
     spark = df.sparkSession
+    k, (parts, words, width) = len(centres), books.shape
+    sizes = np.zeros(k, np.int64)
     for _ in range(passes):
-        held = spark.sparkContext.broadcast(centres)
+        held = spark.sparkContext.broadcast((centres, books))
 
         def run(batches, held=held):
-            now = held.value
-            books, words, width = now.shape
-            total, count = np.zeros(now.shape), np.zeros((books, words), np.int64)
+            centres, books = held.value
+            total, count = np.zeros(centres.shape), np.zeros(k, np.int64)
+            word_total, word_count = np.zeros((parts * words, width)), np.zeros(parts * words, np.int64)
+            for batch in batches:
+                x = vectors_of(batch.column(1), dim)
+                own = nearest(x, centres)
+                np.add.at(total, own, x)
+                count += np.bincount(own, minlength=k)
+                rest = parts_of(x - centres[own], parts)
+                for m in range(parts):
+                    w = nearest(rest[:, m], books[m]) + m * words
+                    np.add.at(word_total, w, rest[:, m])
+                    word_count += np.bincount(w, minlength=parts * words)
+            for base, n, sums in ((0, count, total), (k, word_count, word_total)):
+                if len(some := np.flatnonzero(n)):
+                    yield _sums(base + some, n[some], sums[some])
+
+        def add(batches):
+            at: dict[int, int] = {}
+            n: list[int] = []
+            totals: list[np.ndarray] = []
             for batch in batches:
-                for m, x in enumerate(points(batch)):
-                    k = nearest(x, now[m])
-                    np.add.at(total[m], k, x)
-                    count[m] += np.bincount(k, minlength=words)
-            some = np.flatnonzero(count.reshape(-1))
-            if len(some):
-                yield pa.record_batch(
-                    [pa.array(some), pa.array(count.reshape(-1)[some]), lists(total.reshape(-1, width)[some].reshape(-1), np.arange(len(some) + 1) * width, pa.float64())],
-                    names=["k", "n", "total"],
-                )
-
-        sums = (
-            df.mapInArrow(run, "k long, n long, total array<double>")
-            .select("k", "n", F.posexplode("total").alias("i", "x")).groupBy("k", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-        ).collect()
-        centres = centres.copy()
-        flat = centres.reshape(-1, centres.shape[2])
-        for r in sums:
-            flat[r.k, r.i] = r.x / r.n
+                ends = batch.column(2).offsets.to_numpy()
+                flat = batch.column(2).values.to_numpy()
+                for j, (key, c) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                    x = flat[ends[j] : ends[j + 1]]
+                    if (i := at.setdefault(key, len(n))) == len(n):
+                        n.append(c)
+                        totals.append(x.copy())
+                    else:
+                        n[i] += c
+                        totals[i] += x
+            for size in (dim, width) if width != dim else (dim,):
+                some = [key for key in at if len(totals[at[key]]) == size]
+                if some:
+                    yield _sums(np.array(some), np.array([n[at[key]] for key in some]), np.array([totals[at[key]] for key in some]))
+
+        sums = df.mapInArrow(run, _SUMS).repartition("k").mapInArrow(add, _SUMS).toArrow()
+        centres, books = centres.copy(), books.reshape(-1, width).copy()
+        for i, n, x in zip(sums["k"].to_pylist(), sums["n"].to_pylist(), sums["total"]):
+            if i < k:
+                centres[i], sizes[i] = x.values.to_numpy() / n, n
+            else:
+                books[i - k] = x.values.to_numpy() / n
+        books = books.reshape(parts, words, width)
         held.unpersist()
-    return centres
+    return centres, books, sizes
 
 
-def _pairs_of(base: DataFrame, dim: int, n: int, threshold: float, parts: int, words: int, passes: int, block_vectors: int, task_queries: int) -> DataFrame:
-    """The pairs among the ``n`` vectors of ``base``, all of dimension ``dim``;
-    one may come more than once."""
-    spark = base.sparkSession
-    k = math.ceil(math.sqrt(n))
-    start = base.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(max(k, min(words, n))).select("embedding").collect()
-    seeds = np.array([r.embedding for r in start], np.float64)
-    seeds /= np.linalg.norm(seeds, axis=1, keepdims=True)
-    centres = _lloyd(base, seeds[None, :k], lambda batch: [vectors_of(batch.column(1), dim)], passes)[0]
+_SUMS = "k long, n long, total array<double>"
 
-    def residual(batch: pa.RecordBatch) -> np.ndarray:
-        x = vectors_of(batch.column(1), dim)
-        return x - centres[nearest(x, centres)]
 
-    first = seeds - centres[nearest(seeds, centres)]
-    books = np.ascontiguousarray(parts_of(first[:words], parts).transpose(1, 0, 2))
-    books = _lloyd(base, books, lambda batch: parts_of(residual(batch), parts).transpose(1, 0, 2), passes)
-    def homes(batch: pa.RecordBatch):
-        own, n = np.unique(nearest(vectors_of(batch.column(1), dim), centres), return_counts=True)
-        yield pa.record_batch([pa.array(own), pa.array(n)], names=["list", "n"])
+def _sums(k: np.ndarray, n: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(k), pa.array(n), lists(total.reshape(-1), np.arange(len(k) + 1) * total.shape[1], pa.float64())], names=["k", "n", "total"])
 
-    sizes = np.zeros(k, np.int64)
-    for r in arrow_map(base, homes, "list long, n long").groupBy("list").agg(F.sum("n").alias("n")).collect():
-        sizes[r.list] = r.n
+
+def _pairs_of(base: DataFrame, dim: int, n: int, threshold: float, deviations: float, parts: int, words: int, passes: int, block_vectors: int, task_queries: int) -> DataFrame:
+    """The pairs among the ``n`` vectors of ``base``, all of dimension ``dim``;
+    one may come more than once."""
+    spark = base.sparkSession
+    k = min(n, math.ceil(LISTS * math.sqrt(n)))
+    start = base.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(k + words).select("embedding").toArrow()
+    seeds = vectors_of(start["embedding"].combine_chunks(), dim)
+    centres, others = seeds[:k], seeds[k:] if n > k else seeds
+    books = np.ascontiguousarray(parts_of(others - centres[nearest(others, centres)], parts).transpose(1, 0, 2))
+    centres, books, sizes = _lloyd(base, dim, centres, books, passes)
     block = blocks_of(centres, sizes, block_vectors)
-    radius = math.sqrt(max(0.0, 2 - 2 * threshold))
+    margin = margin_of(threshold, dim, deviations)
 
     def asked_blocks(batch: pa.RecordBatch):
         x, count = vectors_of(batch.column(1), dim), np.zeros(block.max() + 1, np.int64)
         for a, b in _chunks(len(x), len(centres)):
-            row, at = sufficient_lists(x[a:b], centres, radius)
+            row, at = sufficient_lists(x[a:b], centres, margin)
             count += np.bincount(np.unique(row * len(count) + block[at]) % len(count), minlength=len(count))
         some = np.flatnonzero(count)
         yield pa.record_batch([pa.array(some), pa.array(count[some])], names=["block", "n"])
@@ -238,7 +275,7 @@ def _pairs_of(base: DataFrame, dim: int, n: int, threshold: float, parts: int, w
         centres, _, block, split = held.value
         x = vectors_of(batch.column(1), dim)
         for a, b in _chunks(len(x), len(centres)):
-            row, at = sufficient_lists(x[a:b], centres, radius)
+            row, at = sufficient_lists(x[a:b], centres, margin)
             by = np.lexsort((at, block[at], row))
             row, at = row[by], at[by]
             new = np.append(True, (row[1:] != row[:-1]) | (block[at][1:] != block[at][:-1]))
@@ -287,18 +324,23 @@ def _pairs_of(base: DataFrame, dim: int, n: int, threshold: float, parts: int, w
     return left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(scan, "vec_a long, vec_b long, cosine double")
 
 
-def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD, parts: int = PARTS, words: int = WORDS, passes: int = PASSES, block_vectors: int = BLOCK_VECTORS, task_queries: int = TASK_QUERIES) -> DataFrame:
+def near_pairs(
+    embeddings: DataFrame, threshold: float = THRESHOLD, deviations: float = DEVIATIONS, parts: int = PARTS, words: int = WORDS, passes: int = PASSES, block_vectors: int = BLOCK_VECTORS, task_queries: int = TASK_QUERIES
+) -> DataFrame:
     """All pairs of vectors whose cosine reaches ``threshold``.
 
-    Vectors are scaled to unit length and put in as many inverted lists as the
-    square root of their number; residuals are coded by parts.  Lists and
+    Vectors are scaled to unit length and put in ``LISTS`` times the square root
+    of their number of inverted lists; residuals are coded by parts.  Lists and
     codebooks are learned from all vectors by Spark passes of Lloyd's method.
-    Every vector is a query; each dimension that occurs is searched by itself.  It probes each list that the geometry of the
-    lists doesn't rule out, is compared by table lookup with a bound that no
-    pair above the threshold fails, and reranked by exact cosine; so the search
-    loses nothing but what rounding may.
-
-    Result, one row for each pair of ids: ``vec_a < vec_b, cosine``.  Vectors
+    Every vector is a query; each dimension that occurs is searched by itself.
+    It probes each list whose plane is within ``deviations`` (see
+    :func:`margin_of`), is compared by table lookup with a bound that no pair
+    above the threshold fails, and reranked by exact cosine.  So the only pairs
+    that may be missed are those beyond the margin on both sides; infinite
+    ``deviations`` probe every list that can hold a partner, which loses none.
+
+    Result, one row for each pair of ids: ``vec_a < vec_b, cosine``.  A cosine
+    equal to the threshold counts, within the rounding of a double.  Vectors
     that are null, hold a null or NaN, or are all 0 have no cosine here and take
     no part, and neither do rows of null ``vec_id``; vectors of different
     dimensions are no pair.  Of rows with one ``vec_id`` the
@@ -312,7 +354,7 @@ def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD, parts: int =
     )
     # Vectors of different dimensions have no cosine with each other.
     found = [
-        _pairs_of(base.where(F.size("embedding") == r["d"]), r["d"], r["count"], threshold, parts, words, passes, block_vectors, task_queries)
+        _pairs_of(base.where(F.size("embedding") == r["d"]), r["d"], r["count"], threshold, deviations, parts, words, passes, block_vectors, task_queries)
         for r in base.groupBy(F.size("embedding").alias("d")).count().where("count > 1").orderBy("d").collect()
     ]
     if not found:
@@ -320,8 +362,12 @@ def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD, parts: int =
     return reduce(DataFrame.unionByName, found).groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
 
 
-ORACLE = """
+def oracle(threshold: float) -> str:
+    return f"""
 SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
 FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
-WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95
+WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {threshold}
 """
+
+
+ORACLE = oracle(THRESHOLD)

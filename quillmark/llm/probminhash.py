@@ -265,3 +265,38 @@ def keep_first(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS
     one = Window.partitionBy("doc_id").orderBy("text")
     several = docs.join(twice.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi").withColumn("_quillmark_row", F.row_number().over(one)).where("_quillmark_row = 1").drop("_quillmark_row")
     return once.unionByName(several)
+
+
+def _sql_similarity(name: str, parts: str, k_of: str, pairs: str) -> str:
+    """CTEs ``{name}``: the exact probability Jaccard of ``pairs`` over weighted
+    ``parts`` (``doc_id, e``).  With the common elements in order of x / y, the
+    larger of two ratios is that of x above an element and of y below it."""
+    return f"""
+{name}_c AS (SELECT doc_id, e, count(*)::DOUBLE AS x FROM {parts} GROUP BY 1, 2),
+{name}_t AS (SELECT doc_id, sum(x) AS total FROM {name}_c GROUP BY 1),
+{name}_b AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.x, b.x AS y, s.total AS sx, t.total AS sy FROM {name}_c a JOIN {name}_c b ON a.e = b.e AND a.doc_id < b.doc_id
+    JOIN {name}_t s ON s.doc_id = a.doc_id JOIN {name}_t t ON t.doc_id = b.doc_id {pairs}),
+{name}_p AS (SELECT a, b FROM {name}_b GROUP BY 1, 2 HAVING sum(least(x / sx, y / sy)) >= {k_of} - 1e-9),
+{name}_w AS (
+  SELECT a, b, x, y, sum(x) OVER hi AS above, sum(y) OVER hi AS y_above, sum(x) OVER al AS cx, sum(y) OVER al AS cy, sx, sy FROM {name}_b JOIN {name}_p USING (a, b)
+  WINDOW al AS (PARTITION BY a, b), hi AS (PARTITION BY a, b ORDER BY x / y DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+{name} AS (SELECT a, b FROM {name}_w GROUP BY 1, 2 HAVING sum(1 / ((above + sx - cx) / x + (cy - y_above + sy - cy) / y)) >= {k_of})"""
+
+
+#: All pairs by their exact similarity, and the components of what is alike.
+#: Banding may miss a pair at the threshold; one whose documents are joined
+#: through others makes no difference.
+ORACLE = f"""
+WITH RECURSIVE ws AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+word AS (SELECT doc_id, unnest(w) AS e FROM ws),
+gram AS (
+  SELECT doc_id, array_to_string(list_slice(w, i, i + {K - 1}), ' ') AS e FROM (SELECT doc_id, w, unnest(range(1, len(w) - {K - 2})) AS i FROM ws WHERE len(w) >= {K})
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM ws WHERE len(w) BETWEEN 1 AND {K - 1}),
+{_sql_similarity("by_gram", "gram", str(THRESHOLD), "")},
+{_sql_similarity("by_word", "word", str(WORD_THRESHOLD), "JOIN by_gram g ON g.a = a.doc_id AND g.b = b.doc_id")},
+edge AS (SELECT a, b FROM by_word UNION SELECT b, a FROM by_word),
+reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b),
+root AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY 1)
+SELECT doc_id, least(doc_id, coalesce(root.least, doc_id)) AS group_id, doc_id <= coalesce(root.least, doc_id) AS keep FROM documents LEFT JOIN root USING (doc_id)
+"""

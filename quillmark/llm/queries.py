@@ -11,6 +11,10 @@ from quillmark.llm import toxicity as tox
 from quillmark.llm import unit_dedup as units
 
 
+#: Least cosine of loose pairs.
+LOOSE = 0.35
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -25,6 +29,12 @@ def op2_embedding_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pq_neardup.near_pairs(_table(spark, folder, "embeddings")).withColumn("cosine", F.round("cosine", 6))
 
 
+def embedding_pairs_loose(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of far less alike embeddings, with probes that lose none: the same
+    search where the small tables have something to find."""
+    return pq_neardup.near_pairs(_table(spark, folder, "embeddings"), threshold=LOOSE, deviations=float("inf")).withColumn("cosine", F.round("cosine", 6))
+
+
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licence notices in every document."""
     return license_scan.license_scan(_table(spark, folder, "documents"))
@@ -67,6 +77,7 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "embedding_pairs_loose": embedding_pairs_loose,
     "op1_warc_index": op1_warc_index,
     "op2_embedding_pairs": op2_embedding_pairs,
     "op3_license_scan": op3_license_scan,
@@ -81,7 +92,10 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_warc_index": warc_index.ORACLE,
+    "embedding_pairs_loose": pq_neardup.oracle(LOOSE),
     "op2_embedding_pairs": pq_neardup.ORACLE,
+    "op5_near_duplicates": probminhash.ORACLE,
     "op6_unit_dedup": units.ORACLE,
     "op9_toxicity": tox.ORACLE,
+    "op10_suffix_dedup": suffix_dedup.ORACLE,
 }

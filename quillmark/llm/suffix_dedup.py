@@ -429,3 +429,30 @@ def drop_repeats(docs: DataFrame, least: int = MIN_WORDS, size: int = ANCHOR_WOR
         yield out.filter(pa.array(keep))
 
     return arrow_map(joined, finish, docs.schema)
+
+
+#: Every window of ``MIN_WORDS`` words against all others.
+ORACLE = f"""
+WITH pieces AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS ps FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+each AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM pieces),
+placed AS (SELECT *, (sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) - length(p))::BIGINT AS a FROM each),
+word AS (SELECT doc_id, lower(p) AS w, a, a + length(p) AS b, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM placed WHERE regexp_matches(p, '^[\\p{{L}}\\p{{N}}]')),
+doc AS (SELECT doc_id, list(w ORDER BY n) AS ws, list(a ORDER BY n) AS aa, list(b ORDER BY n) AS bb FROM word GROUP BY 1 HAVING count(*) >= {MIN_WORDS}),
+win AS (
+  SELECT doc_id, aa[n] AS a, bb[n + {MIN_WORDS - 1}] AS b, md5(array_to_string(list_slice(ws, n, n + {MIN_WORDS - 1}), ' ')) AS h
+  FROM (SELECT *, unnest(range(1, len(ws) - {MIN_WORDS - 2})) AS n FROM doc)),
+again AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, a) AS k FROM win) WHERE k > 1),
+run AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM again),
+span AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a, b) AS g FROM run) GROUP BY doc_id, g),
+cut AS (
+  SELECT s.*, text, b + CASE WHEN regexp_matches(substring(text, b + 1, 1), '^\\s$') AND (a = 0 OR regexp_matches(substring(text, a, 1), '^\\s$')) THEN 1 ELSE 0 END AS go_on,
+    row_number() OVER (PARTITION BY doc_id ORDER BY a) AS n FROM span s JOIN documents USING (doc_id)),
+per AS (
+  SELECT doc_id, any_value(text) AS text, count(*) AS n, sum(b - a)::BIGINT AS chars, string_agg(a || '-' || b, ';' ORDER BY a) AS txt, list(a ORDER BY a) AS aa, list(go_on ORDER BY a) AS oo FROM cut GROUP BY 1),
+kept AS (
+  SELECT doc_id, string_agg(substring(text, (CASE WHEN i = 1 THEN 0 ELSE oo[i - 1] END + 1)::BIGINT,
+    greatest(0, CASE WHEN i > n THEN length(text) ELSE aa[i] END - CASE WHEN i = 1 THEN 0 ELSE oo[i - 1] END)::BIGINT), '' ORDER BY i) AS text
+  FROM per, generate_series(1, n + 1) AS t(i) GROUP BY 1)
+SELECT d.doc_id, CASE WHEN p.n IS NULL THEN d.text ELSE k.text END AS text, coalesce(p.n, 0) AS n_removed, coalesce(p.chars, 0) AS removed_chars, coalesce(p.txt, '') AS removed_spans
+FROM documents d LEFT JOIN per p USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
