@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillmark.llm import decontam, packing, probminhash, suffix_dedup
 from quillmark.llm import toxicity as tox
 from quillmark.llm.common import checkpoint_dir
+from quillmark.session import remove
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,12 +66,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents`` of ``sf_dir``.
 
-    The rows between stages are kept in the shared checkpoint folder, so a lost
-    executor costs at most the stage that runs.
+    The rows between stages are kept in the shared checkpoint folder until the
+    next stage has written its own, so a lost executor costs at most the stage
+    that runs.  The last stage's rows stay, as the result reads them.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     at = f"{checkpoint_dir(spark)}/pipeline-{uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(out := f"{at}/{k}-{name.replace(' ', '-')}")
-        docs = spark.read.parquet(out)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(out), out
     return docs

@@ -3,7 +3,6 @@ vectorised word hashing."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from quillmark.session import shared_folder
+
 #: Characters and texts handled by one vectorised step.  A longer text is a
 #: step by itself.
 STEP_CHARS = 1 << 20
@@ -19,23 +20,8 @@ U64 = np.uint64
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session.
-
-    It is read from ``spark.checkpoint.dir``.  Only a local session without
-    that setting gets a temporary folder; on a cluster its absence is an error,
-    since a machine-local folder would not survive a lost executor.
-    """
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="quillmark-checkpoint-")
-    sc.setCheckpointDir(folder)
-    return folder
+    """The shared checkpoint folder of the session."""
+    return shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:

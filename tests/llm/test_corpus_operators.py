@@ -14,6 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from quillmark.llm import decontam, license_scan, packing, pq_neardup, probminhash, quality_rank, queries, suffix_dedup, toxicity, unit_dedup, warc_index
 from quillmark.llm.components import components
 
@@ -73,6 +74,26 @@ def test_all_near_pairs_are_found(spark):
     assert all(abs(c - x[a] @ x[b]) < 1e-9 for (a, b), c in got.items())
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_of_probes(spark, clustered):
+    """Pairs at the threshold, the hardest to find, with production settings;
+    and with infinite margin none is missed."""
+    r = np.random.default_rng(9)
+    base = unit(r.normal(size=(1500, 64)))
+    if clustered:
+        base = unit(base[r.integers(0, 30, 1500)] + 0.7 * base)
+    side = r.normal(size=(600, 64))
+    side = unit(side - (side * base[:600]).sum(axis=1, keepdims=True) * base[:600])
+    near = base[:600] * 0.951 + side * math.sqrt(1 - 0.951**2)
+    x = unit(np.concatenate([base, near]).astype(np.float32).astype(float))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    i, j = np.nonzero(np.triu(x @ x.T, 1) >= 0.95)
+    want = set(zip(i.tolist(), j.tolist()))
+    got = {(p.vec_a, p.vec_b) for p in pq_neardup.near_pairs(df).collect()}
+    assert len(want) >= 600 and got <= want and len(got) >= 0.99 * len(want)
+    assert {(p.vec_a, p.vec_b) for p in pq_neardup.near_pairs(df, deviations=math.inf).collect()} == want
+
+
 def test_every_dimension_is_searched(spark):
     rows = [(i, v) for i, v in enumerate([[1.0, 2.0, 2.0], [2.0, 4.0, 4.001], [-3.0, 0.0, 1.0], [1.0, 2.0], [2.0, 4.001], [2.0, -1.0], [3.0], [0.5], [1.0] * 5])]
     df = spark.createDataFrame([*rows, (1, [2.0, 4.0])], "vec_id long, embedding array<float>")
@@ -546,7 +567,7 @@ def plain(t: str) -> str:
     return " ".join(w.lower() for w in WORD.findall(t))
 
 
-def test_contamination_against_edit_distance(spark, writer, docs_of):
+def test_contamination_against_edit_distance(spark, writer, docs_of, tmp_path):
     items = [writer.text(n) for n in (14, 20, 30, 40)]
 
     def worn(t, n):
@@ -573,6 +594,9 @@ def test_contamination_against_edit_distance(spark, writer, docs_of):
     sliced = decontam.decontaminate(docs_of(texts), bench, slice_chars=150).collect()
     assert sorted(sliced) == sorted(got)
     assert {r.doc_id for r in decontam.drop_contaminated(docs_of(texts), bench).collect()} == set(range(len(texts))) - {d for d, _ in found}
+    docs_of(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(queries.op8_decontamination(spark, str(tmp_path)).collect()) == sorted(got)
 
 
 def test_shared_grams_below_the_bound_are_no_match(writer):
@@ -718,3 +742,55 @@ def test_sliding(values, width):
     if len(values) >= width:
         v = np.array(values)
         assert suffix_dedup.sliding(v, width, np.minimum).tolist() == [min(values[i : i + width]) for i in range(len(values) - width + 1)]
+
+
+# the pipeline
+
+
+def without_spans(text: str, spans: str) -> str:
+    at, out = 0, ""
+    for a, b in (map(int, x.split("-")) for x in spans.split(";") if x):
+        out += text[at:a]
+        at = b + (b < len(text) and text[b].isspace() and (a == 0 or text[a - 1].isspace()))
+    return out + text[at:]
+
+
+def near_by_hand(texts: dict[int, str]) -> dict[int, int]:
+    """The least number of each document's group, by all pairs."""
+    words = {d: [m.group().lower() for m in WORD.finditer(t)] for d, t in texts.items()}
+    grams = {d: Counter(zip(w, w[1:], w[2:])) if len(w) > 2 else Counter([tuple(w)] if w else []) for d, w in words.items()}
+    root = {d: d for d in texts}
+    for a in texts:
+        for b in texts:
+            alike = a < b and jaccard_by_hand(grams[a], grams[b]) >= probminhash.THRESHOLD
+            if alike and jaccard_by_hand(Counter(words[a]), Counter(words[b])) >= probminhash.WORD_THRESHOLD:
+                x, y = sorted((root[a], root[b]))
+                root = {d: x if r == y else r for d, r in root.items()}
+    return root
+
+
+def test_pipeline_against_brute_force(spark, writer, tmp_path):
+    items = [writer.text(25), writer.text(30)]
+    passages = [writer.text(n) for n in (60, 75)]
+    lexicon = toxicity.SEED_LEXICON
+    texts = [writer.text(writer.r.randint(60, 160)) for _ in range(24)]
+    texts += [writer.edited(t, 0.03) for t in texts[:4]] + texts[4:6] + [texts[6].upper()]
+    texts += [writer.text(50) + " " + passages[i % 2] + " " + writer.text(40) for i in range(5)] + [passages[0]]
+    texts += [writer.text(60) + " " + items[i % 2] + " " + writer.text(30) for i in range(3)]
+    texts += [writer.text(30) + " stυpid moron " + writer.text(20), "You idiot", "take out the trash can", "", "one"]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = {i: t for i, t in enumerate(texts) if score_by_hand(t, lexicon, toxicity.EXCEPTIONS) < toxicity.THRESHOLD}
+    root = near_by_hand(left)
+    left = {i: t for i, t in left.items() if root[i] == i}
+    spans = dict(zip(left, repeats_by_hand(list(left.values()), suffix_dedup.MIN_WORDS)))
+    left = {i: without_spans(t, spans[i]) for i, t in left.items()}
+    left = {i: t for i, t in left.items() if not spans[i] or WORD.search(t)}
+    allowed = {k: min(math.floor(decontam.EDIT_RATE * len(plain(t))), (len(plain(t)) - decontam.Q) // decontam.Q) for k, t in enumerate(items)}
+    left = {i: t for i, t in left.items() if all(edits_by_hand(plain(x), plain(t)) > allowed[k] for k, x in enumerate(items))}
+    e = packing.encoding(packing.VOCABULARY)
+    want = packed_by_hand([(i, len(e.encode_ordinary(t))) for i, t in left.items()], packing.CAPACITY)
+    got = {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("window_id", "offset", "doc_id", "start_token", "length").collect()}
+    assert got == want and 20 < len(left) < len(texts) - 12

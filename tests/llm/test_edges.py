@@ -179,4 +179,4 @@ def test_pipeline_against_its_stages(spark, tmp_path, writer):
 
 
 def test_every_operator_has_a_query():
-    assert sorted({int(k[2:].split("_")[0]) for k in Q.QUERIES}) == list(range(1, 11)) and set(Q.ORACLES) <= set(Q.QUERIES)
+    assert sorted({int(k[2:].split("_")[0]) for k in Q.QUERIES if k.startswith("op")}) == list(range(1, 11)) and set(Q.ORACLES) <= set(Q.QUERIES)
