@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmark.functions import text as X
 
 #: Items of one call of the judge.
 BATCH = 30
 PUSH_FROM = 85
+#: Companies that are looked for by one automaton.
+NAMES = 100_000
 
 
 def recent(published: Column, now: Column, seconds: float) -> Column:
@@ -66,6 +71,54 @@ def worth_pushing(events: DataFrame, least: int = PUSH_FROM) -> DataFrame:
     return events.where(F.coalesce("verdict.relevant", F.lit(False)) & (F.coalesce("verdict.materiality", F.lit(0)) >= least))
 
 
+def naming(items: DataFrame, companies: DataFrame, text: str, limit: int = NAMES) -> DataFrame:
+    """Items with each company (``ticker, name``) that their text mentions.
+
+    Up to ``limit`` companies are looked for in one pass over each text, by an
+    automaton of all keywords and tickers; more are joined, each item against
+    each company.
+    """
+    known = companies.select("ticker", X.name_keywords(F.col("name")).alias("_keys"))
+    rows = known.limit(limit + 1).collect()
+    if len(rows) > limit:
+        low = items.withColumn("_low", F.lower(text))
+        return low.join(known, X.mentions(F.col("_low"), F.col("ticker"), F.col("_keys"), lowered=True)).drop("_low", "_keys")
+    parts: dict[str, tuple[set[int], set[int]]] = {}
+    for i, r in enumerate(rows):
+        for kind, part in [*((0, k) for k in r["_keys"] or ()), (1, (r.ticker or "").lower())]:
+            if part:
+                parts.setdefault(part, (set(), set()))[kind].add(i)
+    tickers = [r.ticker for r in rows]
+    built: list = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if parts and not built:
+            a = ahocorasick.Automaton()
+            for part, (by_key, by_ticker) in parts.items():
+                a.add_word(part, (len(part), sorted(by_key), sorted(by_ticker)))
+            a.make_automaton()
+            built.append(a)
+        for batch in batches:
+            found: list[list[str]] = []
+            for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
+                low, hits = (t or "").lower(), set()
+                for end, (n, by_key, by_ticker) in built[0].iter(low) if built else ():
+                    hits.update(by_key)
+                    if by_ticker and _alone(low, end + 1 - n, end + 1):
+                        hits.update(by_ticker)
+                found.append([tickers[i] for i in sorted(hits)])
+            yield batch.append_column(pa.field("_tickers", pa.list_(pa.string())), pa.array(found, pa.list_(pa.string())))
+
+    schema = T.StructType([*items.schema.fields, T.StructField("_tickers", T.ArrayType(T.StringType()))])
+    return items.mapInArrow(run, schema).withColumn("ticker", F.explode("_tickers")).drop("_tickers")
+
+
+def _alone(text: str, begin: int, end: int) -> bool:
+    """Whether a word begins and ends at these places, as ``\\b`` has it."""
+    word = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+    return word(begin - 1) != word(begin) and word(end - 1) != word(end)
+
+
 def unseen(items: DataFrame, seen: DataFrame, key: str = "uid") -> DataFrame:
     """Items that weren't there before."""
     return items.join(seen.select(key), key, "left_anti")

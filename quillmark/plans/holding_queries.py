@@ -65,6 +65,19 @@ def qoq_net_flow_topn(spark: SparkSession, d: str) -> DataFrame:
     return H.two_sided(_flows(spark, d).where(F.col("flag") == ""), ["cusip"])
 
 
+@query(f"""
+WITH {_SEC},
+r AS (SELECT cusip, round_even(net_flow / 1e5, 0) AS net_flow_r FROM flagged WHERE flag = ''),
+b AS (SELECT *, 'BOUGHT' AS side FROM r ORDER BY net_flow_r DESC, cusip LIMIT 30),
+s AS (SELECT *, 'SOLD' AS side FROM r ORDER BY net_flow_r, cusip LIMIT 30)
+SELECT * FROM b UNION ALL SELECT * FROM s
+""")
+def rounded_flow_topn(spark: SparkSession, d: str) -> DataFrame:
+    """Largest flows on both sides by the rounded figure, ties by security."""
+    flows = _flows(spark, d).where(F.col("flag") == "").select("cusip", F.bround(F.col("net_flow") / 1e5).alias("net_flow_r"))
+    return H.two_sided(flows, ["cusip"], by="net_flow_r")
+
+
 @query(f"WITH {_SEC} SELECT cusip, holders, holders_chg, shares, value FROM flagged ORDER BY holders DESC, value DESC, cusip LIMIT 30")
 def qoq_breadth_topn(spark: SparkSession, d: str) -> DataFrame:
     """Securities with the most holders."""

@@ -96,10 +96,8 @@ WHERE regexp_matches(lower(text), '\\bthe\\b') AND contains(lower(text), split_p
 """)
 def mention_gate(spark: SparkSession, d: str) -> DataFrame:
     """Documents that name a product by either of its words."""
-    names = table(spark, d, "part").where("p_partkey < 40").select(F.col("p_name").alias("name")).distinct()
-    known = names.select("name", X.name_keywords(F.col("name")).alias("_keys"))
-    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("_low"))
-    return docs.join(known, X.mentions(F.col("_low"), F.col("name"), F.col("_keys"), lowered=True)).select("doc_id", "name")
+    names = table(spark, d, "part").where("p_partkey < 40").select(F.col("p_name").alias("name"), F.col("p_name").alias("ticker")).distinct()
+    return N.naming(table(spark, d, "documents").select("doc_id", "text"), names, "text").select("doc_id", F.col("ticker").alias("name"))
 
 
 @query("""

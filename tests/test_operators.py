@@ -227,3 +227,12 @@ def test_tables_and_reports(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
     K.write_report(df.orderBy("k"), str(tmp_path / "r"))
     assert next((tmp_path / "r").glob("part-*")).read_text().splitlines() == ["k,v", "a,", "b,1.5"]
+
+
+def test_naming(spark):
+    """The automaton and the join say the same."""
+    companies = spark.createDataFrame([("MU", "Micron Technology, Inc."), ("A", "Agilent Technologies"), ("C3", "The Co"), (None, None)], "ticker string, name string")
+    said = ["MICRON up", "mu, a_b", "amu", "a!", "An agile team", "technology", None, "", "c3 the co.", "x_mu mu"]
+    items = spark.createDataFrame(list(enumerate(said)), "n int, text string")
+    got = [sorted((r.n, r.ticker) for r in N.naming(items, companies, "text", limit).collect()) for limit in (100, 0)]
+    assert got[0] == got[1] and (0, "MU") in got[0] and (1, "MU") in got[0] and (3, "A") in got[0] and (2, "MU") not in got[0] and (9, "MU") in got[0]
