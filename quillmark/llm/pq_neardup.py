@@ -26,6 +26,8 @@ PASSES = 5
 BLOCK_VECTORS, TASK_QUERIES = 16_384, 20_000
 #: Cells of a table that one vectorised step holds.
 STEP_CELLS = 1 << 19
+#: Cells of the lookup tables that a task holds at a time, four bytes each.
+TABLE_CELLS = 1 << 23
 #: Rounding that the bounds leave room for.
 EPS = 1e-5
 #: The same for tables, which have single precision.
@@ -38,8 +40,8 @@ def vectors_of(column: pa.Array, dim: int) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def _chunks(n: int, width: int):
-    size = max(1, STEP_CELLS // max(1, width))
+def _chunks(n: int, width: int, cells: int = STEP_CELLS):
+    size = max(1, cells // max(1, width))
     return ((a, min(a + size, n)) for a in range(0, n, size))
 
 
@@ -125,9 +127,9 @@ def blocks_of(centres: np.ndarray, sizes: np.ndarray, limit: int) -> np.ndarray:
 
 
 def query_tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """For each query and part the inner products with all words.  They don't
+    """For each part and query the inner products with all words.  They don't
     depend on the list, so a query needs one table however many lists it asks."""
-    return np.einsum("qmd,mwd->qmw", parts_of(q, len(books)), books, optimize=True).astype(np.float32)
+    return np.matmul(parts_of(q, len(books)).transpose(1, 0, 2).astype(np.float32), books.transpose(0, 2, 1).astype(np.float32))
 
 
 def member_terms(codes: np.ndarray, home: np.ndarray, centres: np.ndarray, books: np.ndarray) -> np.ndarray:
@@ -154,8 +156,8 @@ def scan_list(qid: np.ndarray, q: np.ndarray, tables: np.ndarray, home: np.ndarr
     apart = ((q - centre) ** 2).sum(axis=1).astype(np.float32)
     least = ((terms - (radius + error) ** 2 - TABLE_EPS) / 2).astype(np.float32)
     found = np.zeros((len(q), len(vid)), np.float32)
-    for m in range(tables.shape[1]):
-        found += np.take(tables[:, m], codes[:, m], axis=1)
+    for m in range(len(tables)):
+        found += np.take(tables[m], codes[:, m], axis=1)
     i, j = np.nonzero(found >= least[None, :] + apart[:, None] / 2)
     once = np.where(home[i], qid[i] < vid[j], qid[i] != vid[j])
     i, j = i[once], j[once]
@@ -308,7 +310,7 @@ def _pairs_of(base: DataFrame, dim: int, n: int, threshold: float, deviations: f
             terms = member_terms(codes, home, centres, books)
             kinds, heads = np.unique(home, return_index=True)
             tails = np.append(heads[1:], len(home))
-            for x, y in _chunks(len(qid), books.shape[0] * books.shape[1]):
+            for x, y in _chunks(len(qid), books.shape[0] * books.shape[1], TABLE_CELLS):
                 tables = query_tables(qx[x:y], books)
                 mine = slice(*np.searchsorted(row, [x, y]))
                 by_q = np.argsort(asked[mine], kind="stable")
@@ -317,7 +319,7 @@ def _pairs_of(base: DataFrame, dim: int, n: int, threshold: float, deviations: f
                     r_list = r_all[slice(*np.searchsorted(asked_all, [c, c + 1]))]
                     for g, e in _chunks(len(r_list), t - h):
                         r = r_list[g:e]
-                        found.append(scan_list(qid[x + r], qx[x + r], tables[r], own[x + r] == c, vid[h:t], vx[h:t], codes[h:t], terms[h:t], error[h:t], centres[c], threshold))
+                        found.append(scan_list(qid[x + r], qx[x + r], tables[:, r], own[x + r] == c, vid[h:t], vx[h:t], codes[h:t], terms[h:t], error[h:t], centres[c], threshold))
         a, b, cosine = (np.concatenate(x) for x in zip(*found))
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cosine)], names=["vec_a", "vec_b", "cosine"])
 
