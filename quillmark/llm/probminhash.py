@@ -242,8 +242,10 @@ def near_duplicates(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int =
     same words are duplicates without further look.  Null or wordless texts are
     groups of their own, and so are rows of null ``doc_id``, which keep a null
     group and are kept.  Rows of one ``doc_id`` count as one document and get
-    the same result.  Further columns are ignored; an empty table gives an
-    empty result.
+    the same result.  A similarity equal to its threshold counts; of a group's
+    documents that of least ``doc_id`` is kept, so there are no ties.  Texts of
+    any length are sketched and verified whole, in time that grows with their
+    length.  Further columns are ignored; an empty table gives an empty result.
     """
     found, _ = groups(docs, k, bands, rows, threshold, word_threshold)
     other = found.where("doc_id <> group_id").distinct()

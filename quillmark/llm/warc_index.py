@@ -105,8 +105,10 @@ def capture_index(pages: DataFrame, time: str | None = None, run_rows: int = RUN
     are numbered as they come; a null time sorts first.  Rows without ``url``
     or ``page_id`` are no captures and are left out.  Null content has a null
     digest, which equals another null.  Repeated rows are captures of their
-    own; their order among each other is that of their contents.  Further
-    columns are ignored; an empty table gives an empty result.
+    own; captures equal in key, time and page follow in the order of their
+    contents (URL, digest, length).  Content of any length is only hashed and
+    counted; URLs of any length are keys as they are.  Further columns are
+    ignored; an empty table gives an empty result.
     """
     spark = pages.sparkSession
     entries = _entries(pages, time)
