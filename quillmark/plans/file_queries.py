@@ -222,7 +222,8 @@ e AS (
 SELECT source, uid, array_to_string(tickers, ',') AS tickers, title, summary, url, published FROM (SELECT * FROM b UNION ALL SELECT * FROM f UNION ALL SELECT * FROM e)
 """)
 def feeds(spark: SparkSession, d: str) -> DataFrame:
-    """The three kinds of feed in one shape."""
+    """The three kinds of feed in one shape, each read by itself; one that isn't
+    there is left out."""
 
     def general() -> DataFrame:
         tag = lambda c: F.struct(c.alias("name"))
@@ -250,7 +251,7 @@ def feeds(spark: SparkSession, d: str) -> DataFrame:
         who = table(spark, d, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("cik"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("ticker"))
         return W.event_filings(filed, who)
 
-    out, bad = W.all_sources({"general": general, "companies": companies, "events": events, "none": lambda: spark.read.parquet(f"{d}/no-such-table")})
+    out, bad = W.all_sources({"general": general, "companies": companies, "events": events, "none": lambda: spark.read.parquet(f"{d}/no-such-table")}, eager=True)
     if list(bad) != ["none"]:
         raise AssertionError(bad)
     return out.withColumn("tickers", F.array_join("tickers", ","))
@@ -337,7 +338,11 @@ def context_report(spark: SparkSession, d: str) -> DataFrame:
     pushes = e.select(F.array(mine).alias("tickers"), kind.alias("kind"), F.when(kind == "news", F.floor("value").cast("int")).alias("score"), "date", F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("detail"))
     companies = e.where("user_id < 20").select(mine.alias("ticker"), F.concat(F.lit("Company "), mine, F.lit(" Inc.")).alias("name")).distinct()
     flows = e.select(F.upper(F.concat(F.lit("Company "), mine)).alias("issuer"), F.col("value").cast("decimal(18,2)").cast("string").alias("net_flow")).where("issuer = 'COMPANY U7'")
-    worth = spark.createDataFrame([("U7", 12.5, None), ("U8", 1.0, 2.0)], "ticker string, pe_ttm double, pb double")
+    folder = scratch(spark)
+    K.write_report(spark.createDataFrame([("U7", 12.5, None), ("U8", 1.0, 2.0)], "ticker string, pe_ttm double, pb double"), folder)
+    worth = logs.read_csv_or_none(spark, folder)
+    if logs.read_csv_or_none(spark, f"{folder}-none") is not None:
+        raise AssertionError("a missing file has no table")
     known = C.context("u7", companies, pushes, C.institutional_flow(flows, companies), worth)
     return spark.createDataFrame([(C.render(known),)], "report string")
 

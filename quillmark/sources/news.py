@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as X
+from quillmark.session import shared_folder
 
 _COLUMNS = ["source", "uid", "tickers", "title", "summary", "url", "published"]
 
@@ -47,13 +48,22 @@ def event_filings(filings: DataFrame, companies: DataFrame) -> DataFrame:
     )
 
 
-def all_sources(sources: Mapping[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
-    """Union of the sources that can be planned, and why others can't: one
-    source that fails doesn't take the rest along."""
+def all_sources(sources: Mapping[str, Callable[[], DataFrame]], eager: bool = False) -> tuple[DataFrame | None, dict[str, str]]:
+    """Union of the sources that work, and why others don't: one source that
+    fails doesn't take the rest along.
+
+    Without ``eager`` a source has to be planned to count as working.  With it
+    each is read by itself and kept in the checkpoint folder, so that one which
+    fails while it is read is left out too; feeds of a poll are small.
+    """
     good, bad = [], {}
     for name, make in sources.items():
         try:
-            good.append(make().select(*_COLUMNS))
+            df = make().select(*_COLUMNS)
+            if eager:
+                shared_folder(df.sparkSession)
+                df = df.checkpoint()
+            good.append(df)
         except Exception as e:  # noqa: BLE001 - whatever a source throws is its own
             bad[name] = repr(e)
     return (reduce(DataFrame.unionByName, good) if good else None), bad

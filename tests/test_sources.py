@@ -78,6 +78,9 @@ def test_one_source_fails(spark):
     ok = lambda: spark.range(1).select(*(F.lit(None).cast("string").alias(c) for c in ("source", "uid", "tickers", "title", "summary", "url", "published")))
     out, bad = news.all_sources({"a": ok, "b": lambda: spark.read.parquet("/no/such/place"), "c": ok})
     assert out.count() == 2 and list(bad) == ["b"]
+    late = lambda: ok().withColumn("url", F.raise_error(F.lit("closed")))
+    out, bad = news.all_sources({"a": ok, "late": late, "b": lambda: spark.read.parquet("/no/such/place"), "c": ok}, eager=True)
+    assert out.count() == 2 and list(bad) == ["late", "b"]
 
 
 def test_logs(spark, tmp_path):
