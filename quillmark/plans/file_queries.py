@@ -215,7 +215,7 @@ WITH b AS (
 k AS (SELECT p_partkey AS n, 'P' || p_partkey AS ticker, string_split(p_name, ' ') AS ws FROM part WHERE p_partkey < 20),
 f AS (
   SELECT 'finnhub' AS source, 'fh:' || doc_id AS uid, [ticker] AS tickers, 'About ' || p_name AS title, '' AS summary, 'http://n/' || doc_id AS url, doc_id + 5 AS published
-  FROM documents JOIN k ON n = doc_id % 20 JOIN part ON p_partkey = doc_id * 7 % 23 WHERE list_has_any(ws, string_split(p_name, ' '))),
+  FROM documents JOIN k ON n = doc_id % 20 JOIN part ON p_partkey = doc_id * 7 % 23 WHERE contains('about ' || p_name, ws[1]) OR contains('about ' || p_name, ws[2])),
 e AS (
   SELECT 'sec_8k' AS source, '8k:0-' || o_orderkey AS uid, ['C' || o_custkey] AS tickers, 'C' || o_custkey || ' filed 8-K (material event)' AS title, 'Current report: official disclosure of a material event.' AS summary,
     'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/0' || o_orderkey || '/f.htm' AS url, epoch(date_trunc('day', o_orderdate))::BIGINT AS published FROM orders WHERE o_custkey < 50 AND o_orderstatus = 'P')
