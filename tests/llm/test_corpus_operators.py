@@ -100,6 +100,66 @@ def test_every_dimension_is_searched(spark):
     assert sorted((r.vec_a, r.vec_b) for r in pq_neardup.near_pairs(df).collect()) == [(0, 1), (1, 3), (1, 4), (3, 4), (6, 7)]
 
 
+def classes_by_hand(df, threshold):
+    import duckdb
+
+    embeddings = df.select("vec_id", "embedding").toArrow()  # noqa: F841
+    return sorted(duckdb.sql(pq_neardup.classes_oracle(threshold)).fetchall(), key=str)
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.8])
+def test_classes_have_every_link(spark, threshold):
+    """Clusters, copies, ids of several vectors and rows without a cosine,
+    against SQL over all pairs."""
+    r = np.random.default_rng(11)
+    base = unit(r.normal(size=(150, 12)))
+    near = unit(np.repeat(base[:8], 30, axis=0) + r.normal(scale=0.09, size=(240, 12)))
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(np.concatenate([base, near, near[:40], near[:9] * 3.0]))]
+    rows += [(500, rows[151][1])] * 3 + [(501, rows[0][1]), (501, rows[1][1]), (501, rows[150][1]), (502, rows[1][1]), (502, rows[200][1]), (7, rows[160][1])]
+    rows += [(510, [1.0, 2.0]), (511, [2.0, 4.0]), (501, [1.0, 2.0]), (512, [3.0]), (513, [3.0]), (520, None), (521, [0.0] * 12), (522, [float("nan")] * 12), (523, []), (None, rows[0][1]), (1, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = pq_neardup.near_classes(df, threshold, math.inf, words=32, block_vectors=100, task_queries=50)
+    assert got.columns == ["vec_id", "class_id", "links"]
+    want = classes_by_hand(df, threshold)
+    assert sorted(map(tuple, got.collect()), key=str) == want and len(want) == len(rows) and max(w[2] for w in want) > 20
+
+
+def test_links_agree_with_pairs(spark):
+    """Links folded in tasks, probed from both sides, are those of the pairs."""
+    r = np.random.default_rng(12)
+    x = unit(np.repeat(unit(r.normal(size=(20, 16))), 40, axis=0) + r.normal(scale=0.06, size=(800, 16)))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    for deviations in (pq_neardup.DEVIATIONS, 1.0):
+        small = {"deviations": deviations, "words": 32, "block_vectors": 60, "task_queries": 40}
+        pairs = [(p.vec_a, p.vec_b) for p in pq_neardup.near_pairs(df, **small).collect()]
+        got = {v.vec_id: v.links for v in pq_neardup.near_classes(df, **small).collect()}
+        want = Counter(v for p in pairs for v in p)
+        assert got == {i: want[i] for i in range(800)} and len(pairs) > 4 * 800
+
+
+def test_rows_of_embeddings_follow_the_input(spark, tmp_path):
+    """Clusters three times as large: nine times the pairs, three times the rows."""
+    r = np.random.default_rng(13)
+    base = unit(r.normal(size=(5, 16)))
+    for n in (20, 60):
+        x = np.repeat(base, n, axis=0) + r.normal(scale=0.01, size=(5 * n, 16))
+        spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
+        got = queries.QUERIES["op2_embedding_pairs"](spark, f"{tmp_path}/{n}").collect()
+        assert sorted(map(tuple, got)) == [(i, i // n * n, n - 1) for i in range(5 * n)]
+
+
+@settings(deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=60), st.integers(0, 60))
+def test_merged_sets_have_the_least_lead(pairs, at):
+    lead, want = np.arange(31), list(range(31))
+    for part in (pairs[:at], pairs[at:]):
+        pq_neardup.merge(lead, np.array([a for a, _ in part], np.int64), np.array([b for _, b in part], np.int64))
+    for a, b in pairs:
+        x, y = want[a], want[b]
+        want = [min(x, y) if w in (x, y) else w for w in want]
+    assert lead.tolist() == want
+
+
 def test_probes_are_sufficient():
     r = np.random.default_rng(1)
     x, centres = unit(r.normal(size=(200, 6))), unit(r.normal(size=(12, 6)))
