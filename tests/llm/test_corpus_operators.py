@@ -94,6 +94,28 @@ def test_recall_of_probes(spark, clustered):
     assert {(p.vec_a, p.vec_b) for p in pq_neardup.near_pairs(df, deviations=math.inf).collect()} == want
 
 
+@pytest.mark.parametrize("threshold", [0.35, -1.0])
+def test_tiles_have_every_pair(spark, threshold, monkeypatch):
+    """Without probes nothing is learned: all pairs by tiles, several in a
+    partition, blocks of chance sizes, ids of several rows among them."""
+    monkeypatch.setattr(pq_neardup, "TILE_PARTITIONS", 5)
+    monkeypatch.setattr(pq_neardup, "_search", None)
+    r = np.random.default_rng(17)
+    x = r.normal(size=(230, 16)).astype(np.float32)
+    ids = [i // 2 if i < 20 else i for i in range(230)]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(ids, x)], "vec_id long, embedding array<float>").repartition(4)
+    x = unit(x.astype(float))
+    i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+    rows = Counter((ids[a], ids[b]) for a, b in zip(i, j) if ids[a] != ids[b])
+    want = {p: max(x[a] @ x[b] for a in np.flatnonzero(np.array(ids) == p[0]) for b in np.flatnonzero(np.array(ids) == p[1])) for p in rows}
+    for tile_vectors in (3, 40, 1000):
+        found = pq_neardup._all_pairs(df, 16, 230, threshold, tile_vectors)
+        assert found.rdd.getNumPartitions() <= 5
+        assert Counter((p.vec_a, p.vec_b) for p in found.collect()) == rows
+    got = {(p.vec_a, p.vec_b): p.cosine for p in pq_neardup.near_pairs(df, threshold, math.inf).collect()}
+    assert got.keys() == want.keys() and all(abs(c - want[p]) < 1e-9 for p, c in got.items())
+
+
 def test_every_dimension_is_searched(spark):
     rows = [(i, v) for i, v in enumerate([[1.0, 2.0, 2.0], [2.0, 4.0, 4.001], [-3.0, 0.0, 1.0], [1.0, 2.0], [2.0, 4.001], [2.0, -1.0], [3.0], [0.5], [1.0] * 5])]
     df = spark.createDataFrame([*rows, (1, [2.0, 4.0])], "vec_id long, embedding array<float>")
