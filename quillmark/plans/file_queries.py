@@ -131,20 +131,33 @@ def information_table_files(spark: SparkSession, d: str) -> DataFrame:
     return S.information_table_file(table(spark, d, "customer").select(k.alias("filing"), F.inline(files)))
 
 
+#: Filings of a file of lists, about.
+_LISTED = 100_000
+
+
+def _filing_lists(orders: DataFrame, folder: str, listed: int) -> None:
+    """Orders as filing lists, newest first, of their customers: JSON arrays of
+    as many companies as have about ``listed`` filings, one a file, so that a
+    file doesn't grow with the table."""
+    files = max(1, -(-orders.count() // listed))
+    key = F.col("o_orderkey").cast("string")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    cells = F.struct(-F.unix_timestamp(F.col("o_orderdate").cast("timestamp")), "o_orderkey", F.concat(F.lit("0-"), key).alias("a"), F.when(F.col("o_orderstatus") == "O", "4").otherwise("8-K").alias("f"), day.alias("d"))
+    lists = orders.groupBy(F.col("o_custkey").cast("string").alias("cik")).agg(F.array_sort(F.collect_list(cells)).alias("_l"))
+    recent = F.struct(*(F.col(f"_l.{c}").alias(n) for c, n in (("a", "accessionNumber"), ("f", "form"), ("d", "filingDate"), ("a", "primaryDocument"), ("d", "reportDate"))))
+    docs = lists.select(F.pmod(F.xxhash64("cik"), F.lit(files)).alias("_file"), F.to_json(F.struct("cik", F.struct(recent.alias("recent")).alias("filings"))).alias("v"))
+    whole = docs.groupBy("_file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("v"), ","), F.lit("]")).alias("value"))
+    whole.select("value").write.option("maxRecordsPerFile", 1).text(folder)
+
+
 @query("""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'O')
 SELECT o_custkey AS cik, '0-' || o_orderkey AS accession, strftime(o_orderdate, '%Y-%m-%d') AS date FROM r WHERE n = 1
 """)
 def latest_filing(spark: SparkSession, d: str) -> DataFrame:
     """Each company's newest filing of a form, through JSON lists."""
-    key = F.col("o_orderkey").cast("string")
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    cells = F.struct(-F.unix_timestamp(F.col("o_orderdate").cast("timestamp")), "o_orderkey", F.concat(F.lit("0-"), key).alias("a"), F.when(F.col("o_orderstatus") == "O", "4").otherwise("8-K").alias("f"), day.alias("d"))
-    lists = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("cik")).agg(F.array_sort(F.collect_list(cells)).alias("_l"))
-    recent = F.struct(*(F.col(f"_l.{c}").alias(n) for c, n in (("a", "accessionNumber"), ("f", "form"), ("d", "filingDate"), ("a", "primaryDocument"), ("d", "reportDate"))))
     folder = scratch(spark)
-    docs = F.to_json(F.struct("cik", F.struct(recent.alias("recent")).alias("filings")))
-    lists.select(docs.alias("v")).groupBy(F.lit(1)).agg(F.concat(F.lit("["), F.array_join(F.collect_list("v"), ","), F.lit("]")).alias("value")).select("value").write.text(folder)
+    _filing_lists(table(spark, d, "orders"), folder, _LISTED)
     return taken(S.latest_filing(J.submissions(spark, folder), "4").select("cik", "accession", "date"), folder)
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__
+from quillmark.plans import file_queries
 from quillmark.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -48,3 +50,25 @@ def test_entry(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["semi_join_universe"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(c_mktsegment,BUILDING)" in plan and "o_orderdate" not in plan
+
+
+def landed_files(monkeypatch, module):
+    """Files that the queries of ``module`` land, before they are taken away."""
+    files, taken = [], module.taken
+
+    def look(df, folder):
+        files.extend(p.read_text() for p in Path(folder.removeprefix("file:")).glob("part-*") if p.stat().st_size)
+        return taken(df, folder)
+
+    monkeypatch.setattr(module, "taken", look)
+    return files
+
+
+def test_files_of_filing_lists_have_a_size(spark, monkeypatch):
+    """More companies are more files, not a larger one."""
+    want = sorted(map(tuple, QUERIES["latest_filing"](spark, FOLDER).collect()))
+    files = landed_files(monkeypatch, file_queries)
+    monkeypatch.setattr(file_queries, "_LISTED", 100, raising=False)
+    assert sorted(map(tuple, QUERIES["latest_filing"](spark, FOLDER).collect())) == want
+    sizes = [sum(len(c["filings"]["recent"]["form"]) for c in json.loads(f)) for f in files]
+    assert sum(sizes) == spark.read.parquet(f"{FOLDER}/orders.parquet").count() and len(sizes) > 10 and max(sizes) < 300
