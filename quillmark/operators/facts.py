@@ -39,6 +39,17 @@ def best_unit(points: DataFrame) -> DataFrame:
     return points.withColumn("_best", best).where(F.col("unit") == F.col("_best.unit")).drop("_best")
 
 
+def chosen_points(facts: DataFrame, fields: DataFrame) -> DataFrame:
+    """Fact points of candidate tags in the taxonomy and unit that count.
+
+    Both are chosen on a row for each unit of a tag, so no task has to hold the
+    points of a company's tag.
+    """
+    keys = ["cik", "taxonomy", "tag", "unit"]
+    chosen = best_unit(with_tags(facts.groupBy(*keys).agg(F.min("unit_pos").alias("unit_pos")), fields))
+    return facts.drop("unit_pos").join(chosen, keys)
+
+
 def with_periods(points: DataFrame, companies: DataFrame) -> DataFrame:
     """Fiscal year and period of each annual or quarterly report point."""
     month, day = F.split("fiscal_year_end", "-")[0].cast("int"), F.split("fiscal_year_end", "-")[1].cast("int")
@@ -85,7 +96,7 @@ def trailing_years(rows: DataFrame, key: str = "ticker", year: str = "fiscal_yea
 
 def facts_long(facts: DataFrame, fields: DataFrame, companies: DataFrame, years: int = YEARS_BACK) -> DataFrame:
     """The canonical long table."""
-    points = with_periods(best_unit(with_tags(facts, fields)), companies)
+    points = with_periods(chosen_points(facts, fields), companies)
     per_tag = as_reported(points, ["cik", "ticker", "field_key", "rank", "fiscal_year", "fiscal_period"])
     chosen = spliced(per_tag, ["cik", "ticker", "field_key", "fiscal_year", "fiscal_period"])
     out = chosen.withColumn("period", F.when(F.col("fiscal_period") == "FY", "annual").otherwise("quarterly"))
@@ -97,7 +108,7 @@ def facts_long(facts: DataFrame, fields: DataFrame, companies: DataFrame, years:
 
 def tag_provenance(facts: DataFrame, fields: DataFrame, companies: DataFrame) -> DataFrame:
     """Which tags each company's fields were spliced from."""
-    return provenance(with_periods(best_unit(with_tags(facts, fields)), companies), ["ticker", "field_key"])
+    return provenance(with_periods(chosen_points(facts, fields), companies), ["ticker", "field_key"])
 
 
 def counts(rows: DataFrame) -> DataFrame:

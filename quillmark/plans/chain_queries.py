@@ -76,9 +76,13 @@ def _entries(df: DataFrame, keys: list[str], name: str, value: str):
     return df.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, value)))).alias("_v"))
 
 
+#: Keys whose points are a page of the documents.
+_PAGE = 1 << 18
+
+
 def _facts(spark: SparkSession, d: str) -> DataFrame:
     """Orders as company facts: written as one JSON document for each company
-    and read back as facts are."""
+    and page of keys, and read back as facts are."""
     key = F.col("o_orderkey")
     who = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("ticker"))
     day = F.col("o_orderdate").cast("date")
@@ -91,12 +95,17 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
         "cik", F.when(key % 7 == 0, "dei").when(key % 7 == 1, "other").otherwise("us-gaap").alias("taxonomy"), F.concat(F.lit("T"), (key % 5).cast("string")).alias("tag"),
         F.when(F.floor(key / 5) % 3 == 0, "USD").when(F.floor(key / 5) % 3 == 1, "USD/shares").otherwise("pure").alias("unit"), key.alias("k"), point.alias("p"),
     )
-    points = each.groupBy("cik", "taxonomy", "tag", "unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]).alias("points"))
-    units = _entries(points, ["cik", "taxonomy", "tag"], "unit", "points").withColumn("node", F.struct(F.col("tag").alias("label"), F.col("_v").alias("units"))).drop("_v")
-    tags = units.groupBy("cik", "taxonomy").agg(F.map_from_entries(F.collect_list(F.struct("tag", "node"))).alias("tags"))
-    docs = tags.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("taxonomy", "tags"))).alias("facts"))
+    each = each.withColumn("page", F.floor(F.coalesce("k", F.lit(0)) / _PAGE))
+    points = each.groupBy("cik", "page", "taxonomy", "tag", "unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]).alias("points"))
+    units = _entries(points, ["cik", "page", "taxonomy", "tag"], "unit", "points")
+    # Every page has all units of a tag, so that they have the same places.
+    names = each.groupBy("cik", "taxonomy", "tag").agg(F.array_sort(F.collect_set("unit")).alias("_units"))
+    full = F.map_from_arrays("_units", F.transform("_units", lambda u: F.coalesce(F.col("_v")[u], F.array().cast(points.schema["points"].dataType))))
+    nodes = units.join(names, ["cik", "taxonomy", "tag"]).withColumn("node", F.struct(F.col("tag").alias("label"), full.alias("units")))
+    tags = nodes.groupBy("cik", "page", "taxonomy").agg(F.map_from_entries(F.collect_list(F.struct("tag", "node"))).alias("tags"))
+    docs = tags.groupBy("cik", "page").agg(F.map_from_entries(F.collect_list(F.struct("taxonomy", "tags"))).alias("facts"))
     folder = scratch(spark)
-    docs.select(F.to_json(F.struct("cik", "facts")).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    docs.select(F.to_json(F.struct("cik", "page", "facts")).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
     return taken(S.company_facts(spark, folder), folder)
 
 

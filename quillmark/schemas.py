@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 _POINT = "struct<start:string,end:string,val:double,form:string,accn:string>"
-#: Company facts: taxonomy, tag, unit, points.
-COMPANY_FACTS = f"cik long, entityName string, facts map<string,map<string,struct<label:string,units:map<string,array<{_POINT}>>>>>"
+#: Company facts: taxonomy, tag, unit, points; ``page`` numbers the documents of a company that has several.
+COMPANY_FACTS = f"cik long, entityName string, page long, facts map<string,map<string,struct<label:string,units:map<string,array<{_POINT}>>>>>"
 SUBMISSIONS = (
     "cik string, name string, filings struct<recent:struct<accessionNumber:array<string>,form:array<string>,filingDate:array<string>,"
     "primaryDocument:array<string>,reportDate:array<string>>>"

@@ -23,19 +23,23 @@ def company_facts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Facts as rows: ``cik, taxonomy, tag, unit, unit_pos, pos`` and the point.
 
     Three maps are exploded in turn; positions keep the order of the document,
-    which later ties refer to.
+    which later ties refer to.  A document is read whole by one task, so a
+    company of very many points comes in several, numbered by ``page``: their
+    points follow each other, and each names all units of its tags in the same
+    order, without points where it has none.
     """
     raw = read_json(spark, path, schemas.COMPANY_FACTS)
     return facts_rows(raw)
 
 
 def facts_rows(raw: DataFrame) -> DataFrame:
+    pos = F.coalesce("page", F.lit(0)) * (1 << 32) + F.col("pos")
     return (
-        raw.select("cik", F.explode("facts").alias("taxonomy", "_tags"))
-        .select("cik", "taxonomy", F.explode("_tags").alias("tag", "_node"))
-        .select("cik", "taxonomy", "tag", F.posexplode("_node.units").alias("unit_pos", "unit", "_points"))
-        .select("cik", "taxonomy", "tag", "unit", "unit_pos", F.posexplode("_points").alias("pos", "_p"))
-        .select("cik", "taxonomy", "tag", "unit", "unit_pos", "pos", F.to_date("_p.start").alias("start"), F.to_date("_p.end").alias("end"), F.col("_p.val").alias("value"), "_p.form", "_p.accn")
+        raw.select("cik", "page", F.explode("facts").alias("taxonomy", "_tags"))
+        .select("cik", "page", "taxonomy", F.explode("_tags").alias("tag", "_node"))
+        .select("cik", "page", "taxonomy", "tag", F.posexplode("_node.units").alias("unit_pos", "unit", "_points"))
+        .select("cik", "page", "taxonomy", "tag", "unit", "unit_pos", F.posexplode("_points").alias("pos", "_p"))
+        .select("cik", "taxonomy", "tag", "unit", "unit_pos", pos.alias("pos"), F.to_date("_p.start").alias("start"), F.to_date("_p.end").alias("end"), F.col("_p.val").alias("value"), "_p.form", "_p.accn")
     )
 
 

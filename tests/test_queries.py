@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quillmark.plans import file_queries
+from quillmark.plans import chain_queries, file_queries
 from quillmark.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -72,3 +72,14 @@ def test_files_of_filing_lists_have_a_size(spark, monkeypatch):
     assert sorted(map(tuple, QUERIES["latest_filing"](spark, FOLDER).collect())) == want
     sizes = [sum(len(c["filings"]["recent"]["form"]) for c in json.loads(f)) for f in files]
     assert sum(sizes) == spark.read.parquet(f"{FOLDER}/orders.parquet").count() and len(sizes) > 10 and max(sizes) < 300
+
+
+def test_documents_of_facts_have_a_size(spark, monkeypatch):
+    """More points of a company are more documents, not a larger one; units and
+    points keep their order over the pages."""
+    want = sorted(map(tuple, QUERIES["facts_long"](spark, FOLDER).collect()))
+    files = landed_files(monkeypatch, chain_queries)
+    monkeypatch.setattr(chain_queries, "_PAGE", 100, raising=False)
+    assert sorted(map(tuple, QUERIES["facts_long"](spark, FOLDER).collect())) == want
+    sizes = [sum(len(points) for tags in json.loads(f)["facts"].values() for node in tags.values() for points in node["units"].values()) for f in files]
+    assert sum(sizes) == spark.read.parquet(f"{FOLDER}/orders.parquet").count() and len(sizes) > 50 and max(sizes) <= 100

@@ -19,6 +19,14 @@ def test_company_facts(spark, tmp_path):
     assert [(r.cik, r.taxonomy, r.tag, r.unit, r.value, r.start is None) for r in got] == [(7, "us-gaap", "Rev", "USD", 5.0, False), (7, "us-gaap", "Rev", "USD", 6.0, True)]
 
 
+def test_company_facts_in_pages(spark, tmp_path):
+    """Points of a later page follow; a unit without points keeps its place."""
+    for page, units in ((0, {"EUR": [{"end": "2024-01-01", "val": 1}, {"end": "2024-01-01", "val": 2}], "USD": []}), (1, {"EUR": [{"end": "2024-01-01", "val": 3}], "USD": [{"end": "2024-01-01", "val": 4}]})):
+        (tmp_path / f"{page}.json").write_text(json.dumps({"cik": 7, "page": page, "facts": {"us-gaap": {"Rev": {"units": units}}}}))
+    got = S.company_facts(spark, str(tmp_path)).orderBy("unit_pos", "pos").collect()
+    assert [(r.unit_pos, r.unit, r.value) for r in got] == [(0, "EUR", 1.0), (0, "EUR", 2.0), (0, "EUR", 3.0), (1, "USD", 4.0)] and len({(r.unit, r.pos) for r in got}) == 4
+
+
 def test_filing_lists(spark, tmp_path):
     p = tmp_path / "s.json"
     p.write_text(json.dumps({"cik": "0000000009", "filings": {"recent": {"accessionNumber": ["1-2", "3-4", "5-6"], "form": ["8-K", "4", "4"], "filingDate": ["2026-01-03", "2026-01-02", "2026-01-01"], "primaryDocument": ["a.htm", "xsl/b.xml", "c.xml"], "reportDate": ["", "", ""]}}}))
